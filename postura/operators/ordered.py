@@ -16,7 +16,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 HALO = "_halo"
@@ -51,11 +51,15 @@ def stage(df: DataFrame) -> DataFrame:
     For reduced tables that several branches read: the plan stays small, nothing is computed twice, and a lost
     executor costs only a re-read. The folder is the cluster's ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{root.rstrip('/')}/postura-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staging_path(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    return f"{root.rstrip('/')}/postura-{uuid.uuid4().hex}"
 
 
 @functools.cache

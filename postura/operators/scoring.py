@@ -55,9 +55,10 @@ def p90_of_scores(scored: DataFrame, fields: list[str], top: int, key: str = "wo
     Frames are first reduced to at most one row per (worker, score value), before any shuffle; percentile and
     nearest frame come from those few rows.
     """
-    at = F.struct("ts", "frame_idx")
+    if "_n" not in scored.columns:
+        scored = scored.withColumns({"_n": F.lit(1), "_at": F.struct("ts", "frame_idx")})
     per_score = scored.groupBy("video_id", key, "final_score").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_at"), F.min_by(F.struct(*fields), at).alias("_parts"))
+        F.sum("_n").alias("_n"), F.min("_at").alias("_at"), F.min_by(F.struct(*fields), "_at").alias("_parts"))
     worker = Window.partitionBy("video_id", key)
     run = F.sum("_n").over(worker.orderBy("final_score").rowsBetween(Window.unboundedPreceding, 0))
     ranked = per_score.withColumns({"_upto": run, "_all": F.sum("_n").over(worker)})
@@ -82,10 +83,28 @@ def reba_worker(frames: DataFrame, key: str = "worker_id", load_force: Column |
 
 def rula_worker(frames: DataFrame, key: str = "worker_id", repetitive: Column | None = None) -> DataFrame:
     best = p90_of_scores(rula_frame(frames, repetitive), S.RULA_FIELDS, 7, key)
+    return _rula_levels(best)
+
+
+def _rula_levels(best: DataFrame) -> DataFrame:
     return best.withColumns({"action_level": S.level_map(F.col("p90_score"), T.RULA_LEVELS, 2),
                              "action": S.level_map(F.col("p90_score"), T.RULA_LEVELS, 3)})
 
 
+def rula_worker_pipeline(frames: DataFrame, flags: DataFrame, key: str = "worker_id") -> DataFrame:
+    """Overall RULA as the pipeline takes it: trunk angle only, plus the worker's repetition flag.
+
+    Frames are counted per trunk score first, so only a few rows per worker meet the flag.
+    """
+    none = F.lit(None).cast("double")
+    parts = S.rula_parts(F.col("trunk"), none, none, none, none, none)
+    counted = frames.withColumns(parts).groupBy("video_id", key, *parts).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("ts", "frame_idx")).alias("_at"))
+    scored = project(counted.join(flags.select("video_id", key, "is_repetitive"), ["video_id", key]),
+                     S.rula_totals(F.col("is_repetitive"), F.lit(0)))
+    return _rula_levels(p90_of_scores(scored, S.RULA_FIELDS, 7, key))
+
+
 def niosh(df: DataFrame, weight: Column, trunk: Column, h_cm: Column | None = None, v_cm: Column | None = None,
           travel_cm: Column | None = None, asym_deg: Column | None = None,
           lifts_min: Column | None = None) -> DataFrame:
