@@ -673,9 +673,9 @@ def _(t):
     return t.filled.select(*VW, "joint", "pos", *rounded("value"))
 
 
-@query("sig_detrend", f"SELECT video_id, worker_id, joint, pos, {O.r('z', 4)} AS value FROM flat0")
+@query("sig_detrend", f"SELECT video_id, worker_id, joint, pos, {O.r('z', 6)} AS value FROM flat0")
 def _(t):
-    return SG.detrend(t.filled).select(*VW, "joint", "pos", *rounded("value"))
+    return SG.detrend(t.filled).select(*VW, "joint", "pos", *rounded("value", k=6))
 
 
 @query("sig_peaks", "SELECT video_id, worker_id, joint, pos FROM pk")
@@ -991,10 +991,10 @@ def _(t):
         "video_id", "raw_id", "frame_idx", "raw_label", "label")
 
 
-@query("stream_exposure_5min", "SELECT video_id, worker_id, CAST(epoch(time_bucket(INTERVAL '5 minutes', at)) AS BIGINT) "
+@query("stream_exposure_5min", "SELECT video_id, worker_id, CAST(epoch(time_bucket(INTERVAL '5 minutes', tm)) AS BIGINT) "
        "AS window_start, count(*) AS n_frames, " + ", ".join(
            f"{O.r(f'(count(*) FILTER (label = {O.q(v)}))/count(*)*100e0', 1)} AS {v}_pct" for v in T.LABELS)
-       + """ FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(frame_idx AS BIGINT)) AS at FROM lab_worker_id)
+       + """ FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(frame_idx AS BIGINT)) AS tm FROM lab_worker_id)
   GROUP BY 1, 2, 3""")
 def _(t):
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp")

@@ -51,7 +51,7 @@ def _per_label(bouts: DataFrame, key: str) -> DataFrame:
 def distribution(bouts: DataFrame, key: str = "worker_id") -> DataFrame:
     """Long form: share of each label in the total bout time (at most six rows per worker)."""
     total = F.sum("_cents").over(Window.partitionBy("video_id", key))
-    pct = F.when(total > 0, rnd(F.col("_cents") / dbl(100) / (total / dbl(100)) * 100.0, 1)).otherwise(dbl(0))
+    pct = F.when(total > 0, rnd(F.col("_cents") / total * 100.0, 1)).otherwise(dbl(0))
     return _per_label(bouts, key).select("video_id", key, "label", pct.alias("pct"))
 
 

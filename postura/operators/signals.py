@@ -53,11 +53,14 @@ def fill_gaps(series: DataFrame, key: str = "worker_id", limits: Thresholds = DE
 
 
 def detrend(filled: DataFrame, key: str = "worker_id") -> DataFrame:
-    """Value minus the least-squares line over the positions of its series."""
+    """Value minus the least-squares line over the positions of its series.
+
+    Kept to nine decimals, so that equal neighbours (plateaus) stay equal whatever the last bits of the line are.
+    """
     line = filled.groupBy(*_keys(key)).agg(
         F.regr_slope("value", "pos").alias("_m"), F.avg("value").alias("_v"), F.avg("pos").alias("_p"))
     flat = F.col("value") - (F.col("_v") + F.coalesce("_m", dbl(0)) * (F.col("pos") - F.col("_p")))
-    return filled.join(line, _keys(key)).withColumn("value", flat).drop("_m", "_v", "_p")
+    return filled.join(line, _keys(key)).withColumn("value", rnd(flat, 9)).drop("_m", "_v", "_p")
 
 
 # ------------------------------------------------------------------ numpy helpers, one series at a time
@@ -126,19 +129,23 @@ def spectrum(x: np.ndarray, fps: float, low: float, high: float) -> tuple[float,
 # ------------------------------------------------------------------ operators
 
 
+def _arrays(detrended: DataFrame, key: str) -> DataFrame:
+    """One row per series of bounded length, values in order. Rows of many series then reach Python in one batch."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    return detrended.groupBy(*_keys(key)).agg(F.first("n").alias("n"), ordered.alias("_s")).select(
+        *_keys(key), "n", F.transform("_s", lambda p: p["value"]).alias("values"))
+
+
 def peaks(detrended: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
     """Positions of prominent peaks per series."""
     distance = max(1, int(limits.sample_fps / limits.freq_max_hz)) if limits.freq_max_hz > 0 else 1
     least = limits.prominence_deg
-    kt = dict(detrended.dtypes)[key]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        found = find_peaks(pdf["value"].to_numpy(), distance, least)
-        return pdf.iloc[found][["video_id", key, "joint", "pos", "n"]]
+    @F.pandas_udf("array<long>")
+    def positions(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: find_peaks(np.asarray(v), distance, least))
 
-    return detrended.select(*_keys(key), "pos", "n", "value").groupBy(*_keys(key)).applyInPandas(
-        one, f"video_id long, {key} {kt}, joint string, pos long, n long")
+    return _arrays(detrended, key).select(*_keys(key), "n", F.explode(positions("values")).alias("pos"))
 
 
 def _repeat_columns(freq: Column, conf: Column, rounded: Column, limit: float) -> dict[str, Column]:
@@ -169,14 +176,14 @@ def peak_rate(found: DataFrame, series: DataFrame, key: str = "worker_id", limit
 
 def spectrum_rate(detrended: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
     fps, low, high = limits.sample_fps, limits.freq_min_hz, limits.freq_max_hz
-    kt = dict(detrended.dtypes)[key]
 
-    def one(names, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = spectrum(pdf.sort_values("pos")["value"].to_numpy(), fps, low, high) or (None, None, None)
-        return pd.DataFrame([[*names, *got]], columns=["video_id", key, "joint", "hz", "peak", "mean"])
+    @F.pandas_udf("hz double, peak double, mean double")
+    def strongest(values: pd.Series) -> pd.DataFrame:
+        none = (None, None, None)
+        return pd.DataFrame([spectrum(np.asarray(v), fps, low, high) or none for v in values],
+                            columns=["hz", "peak", "mean"], dtype="float64")
 
-    raw = detrended.select(*_keys(key), "pos", "value").groupBy(*_keys(key)).applyInPandas(
-        one, f"video_id long, {key} {kt}, joint string, hz double, peak double, mean double")
+    raw = _arrays(detrended, key).select(*_keys(key), strongest("values").alias("_r")).select(*_keys(key), "_r.*")
     ratio = (F.col("peak") / (F.col("mean") + dbl(1e-8)) - 1.0) / 5.0
     conf = F.when(F.col("hz").isNull(), dbl(0)).otherwise(F.greatest(dbl(0), F.least(dbl(1), ratio)))
     cols = _repeat_columns(F.col("hz"), conf, F.col("hz").isNotNull(), 0.3)

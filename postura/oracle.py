@@ -310,7 +310,8 @@ BLOCKS["bf"] = (
 BLOCKS["dist"] = f"""
   SELECT video_id, worker_id, label, first_s, secs, CASE WHEN sum(secs) OVER p > 0
     THEN {r('secs/(sum(secs) OVER p)*100', 1)} ELSE 0e0 END AS pct
-  FROM (SELECT video_id, worker_id, label, min(s) AS first_s, {_sec('true')} AS secs FROM bouts GROUP BY 1, 2, 3)
+  FROM (SELECT video_id, worker_id, label, min(s) AS first_s,
+      CAST(sum(CAST(round_even(dur*100, 0) AS BIGINT)) AS DOUBLE) AS secs FROM bouts GROUP BY 1, 2, 3)
   WINDOW p AS (PARTITION BY video_id, worker_id)"""
 BLOCKS["lf"] = (
     "\n  SELECT video_id, worker_id, first(label ORDER BY secs DESC, first_s) AS dominant_posture, "
@@ -460,7 +461,7 @@ BLOCKS["fill"] = f"""
         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rp
     FROM fill0 WHERE nv >= 3 OR (nv = n AND n > 0))"""
 BLOCKS["flat0"] = """
-  SELECT f.*, v - (m*pos + c) AS z FROM fill f JOIN (
+  SELECT f.*, round_even((v - (m*pos + c))*1e9, 0)/1e9 AS z FROM fill f JOIN (
     SELECT video_id, worker_id, joint, coalesce(regr_slope(v, pos), 0) AS m,
       avg(v) - coalesce(regr_slope(v, pos), 0)*avg(pos) AS c FROM fill GROUP BY 1, 2, 3) g
     USING (video_id, worker_id, joint)"""
@@ -474,16 +475,20 @@ BLOCKS["tops"] = """
   SELECT video_id, worker_id, joint, n, z, (a+b)//2 AS pos FROM (
     SELECT *, lag(z) OVER w AS lz, lead(z) OVER w AS rz FROM runs
     WINDOW w AS (PARTITION BY video_id, worker_id, joint ORDER BY g)) WHERE z > lz AND z > rz"""
+BLOCKS["pb"] = """
+  SELECT t.video_id, t.worker_id, t.joint, t.pos, t.n, t.z,
+    coalesce(max(CASE WHEN s.z > t.z AND s.pos < t.pos THEN s.pos END), -1) AS lo,
+    coalesce(min(CASE WHEN s.z > t.z AND s.pos > t.pos THEN s.pos END), t.n) AS hi
+  FROM tops t JOIN flat s ON s.video_id = t.video_id AND s.worker_id = t.worker_id AND s.joint = t.joint
+  GROUP BY t.video_id, t.worker_id, t.joint, t.pos, t.n, t.z"""
 BLOCKS["pk"] = """
-  SELECT t.video_id, t.worker_id, t.joint, t.pos, t.n FROM (
-    SELECT t.video_id, t.worker_id, t.joint, t.pos, t.n, t.z,
-      coalesce(max(s.pos) FILTER (s.z > t.z AND s.pos < t.pos), -1) AS lo,
-      coalesce(min(s.pos) FILTER (s.z > t.z AND s.pos > t.pos), t.n) AS hi
-    FROM tops t JOIN flat s USING (video_id, worker_id, joint) GROUP BY ALL) t
-  JOIN flat s USING (video_id, worker_id, joint)
-  GROUP BY 1, 2, 3, 4, 5, t.z, t.lo, t.hi
-  HAVING t.z - greatest(min(s.z) FILTER (s.pos > t.lo AND s.pos <= t.pos),
-                        min(s.z) FILTER (s.pos < t.hi AND s.pos >= t.pos)) >= 5"""
+  SELECT video_id, worker_id, joint, pos, n FROM (
+    SELECT b.video_id, b.worker_id, b.joint, b.pos, b.n, b.z,
+      min(CASE WHEN s.pos > b.lo AND s.pos <= b.pos THEN s.z END) AS ml,
+      min(CASE WHEN s.pos < b.hi AND s.pos >= b.pos THEN s.z END) AS mr
+    FROM pb b JOIN flat s ON s.video_id = b.video_id AND s.worker_id = b.worker_id AND s.joint = b.joint
+    GROUP BY b.video_id, b.worker_id, b.joint, b.pos, b.n, b.z)
+  WHERE z - greatest(ml, mr) >= 5"""
 BLOCKS["pr0"] = """
   SELECT k.video_id, k.worker_id, k.joint, coalesce(c, 0) AS peak_count, 1/m AS hz, sd/m AS cv FROM (
     SELECT DISTINCT video_id, worker_id, joint FROM flat) k LEFT JOIN (
@@ -499,10 +504,10 @@ BLOCKS["pr"] = f"""
     {r(f'CASE WHEN peak_count < 3 THEN 0e0 WHEN {_INB} THEN {_STEADY} ELSE 0.2e0 END', 2)} AS confidence,
     coalesce({_INB} AND {_STEADY} > 0.4e0, false) AS is_repetitive FROM pr0"""
 BLOCKS["dft"] = """
-  SELECT video_id, worker_id, joint, n, k, k*5e0/n AS hz, sqrt(sum(h*cos(2*pi()*k*pos/n))^2 + sum(h*sin(2*pi()*k*pos/n))^2)
+  SELECT video_id, worker_id, joint, n, k, k*(1e0/(n*(1e0/5e0))) AS hz, sqrt(sum(h*cos(2*pi()*k*pos/n))^2 + sum(h*sin(2*pi()*k*pos/n))^2)
     AS amp
   FROM (SELECT *, z*(0.5e0 - 0.5e0*cos(2*pi()*pos/(n-1))) AS h, unnest(range(0, n//2 + 1)) AS k FROM flat WHERE n >= 16)
-  WHERE k*5e0/n BETWEEN 0.2e0 AND 3e0 GROUP BY 1, 2, 3, 4, 5"""
+  WHERE k*(1e0/(n*(1e0/5e0))) BETWEEN 0.2e0 AND 3e0 GROUP BY 1, 2, 3, 4, 5"""
 BLOCKS["sp0"] = """
   SELECT k.video_id, k.worker_id, k.joint, s.hz, s.c FROM (SELECT DISTINCT video_id, worker_id, joint FROM flat) k
   LEFT JOIN (SELECT video_id, worker_id, joint, first(hz ORDER BY amp DESC, k) AS hz,
