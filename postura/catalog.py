@@ -98,7 +98,7 @@ class Tables:
 
     @cached_property
     def filled(self) -> DataFrame:
-        return stage(SG.fill_gaps(SG.joint_series(self.frames)))
+        return stage(SG.fill_gaps(self.frames))
 
     @cached_property
     def flat(self) -> DataFrame:
@@ -703,7 +703,7 @@ def _(t):
 
 @query("sig_repetition", f"SELECT video_id, worker_id, joint, peak_count, {r4(*_RES)}, is_repetitive FROM cb")
 def _(t):
-    return SG.repetition(SG.joint_series(t.frames)).select(*VW, "joint", "peak_count", *rounded(*_RES),
+    return SG.repetition(t.frames).select(*VW, "joint", "peak_count", *rounded(*_RES),
                                                            "is_repetitive")
 
 

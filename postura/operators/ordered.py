@@ -14,8 +14,11 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -56,6 +59,17 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_together(**tables: Callable[[], DataFrame]) -> dict[str, DataFrame]:
+    """Build and stage tables that do not depend on each other from concurrent driver threads.
+
+    Their jobs share the executors, so small stages of one table fill the gaps of another.
+    """
+    inherit = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(tables)) as pool:
+        runs = {n: pool.submit(inherit(lambda make=make: stage(make()))) for n, make in tables.items()}
+        return {n: run.result() for n, run in runs.items()}
+
+
 def staging_path(spark: SparkSession) -> str:
     """A new place in the shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()

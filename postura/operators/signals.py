@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from postura.config import DEFAULTS, Thresholds
 from postura.functions.numeric import dbl, rnd
 from postura.operators.frames import with_chunk
-from postura.operators.ordered import Series, scan, stage
+from postura.operators.ordered import Series, scan, stage, stage_together
 
 # Python workers get these functions by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,30 +26,32 @@ def _keys(key: str) -> list[str]:
     return ["video_id", key, "joint"]
 
 
-def joint_series(frames: DataFrame, key: str = "worker_id") -> DataFrame:
-    """Wide angles → long form (video, worker, joint, ts, frame_idx, value)."""
-    have = [j for j in JOINT_ORDER if j in frames.columns]
-    return frames.select("video_id", key, "ts", "frame_idx", *have).unpivot(
-        ["video_id", key, "ts", "frame_idx"], have, "joint", "value")
+def fill_gaps(frames: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
+    """Wide angles → long form (video, worker, joint, pos, n, value) without missing values.
 
-
-def fill_gaps(series: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
-    """Linear interpolation of missing values by position, ends held.
-
-    Series without any value, or with gaps and fewer than three values, are dropped. Adds ``pos`` (0-based) and ``n``.
+    Missing values are interpolated linearly by position, ends held. Series without any value, or with gaps and fewer
+    than three values, are dropped. The joints share their positions, so rows are numbered and searched while still
+    wide and only then turned into one row per joint.
     """
-    s = Series(tuple(_keys(key)), ("ts", "frame_idx"))
-    numbered = stage(with_chunk(scan(with_chunk(series, limits), s, count="_pos"), limits))
-    known = F.when(F.col("value").isNotNull(), F.struct("_pos", "value"))
-    near = scan(numbered, s, before={"_l": known}, after={"_r": known})
-    span = (F.col("_r._pos") - F.col("_l._pos")).cast("double")
-    slope = (F.col("_r.value") - F.col("_l.value")) / span
-    between = slope * (F.col("_pos") - F.col("_l._pos")) + F.col("_l.value")
-    filled = F.coalesce("value", between, F.col("_l.value"), F.col("_r.value"))
-    facts = series.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("_v"))
+    s = Series(("video_id", key), ("ts", "frame_idx"))
+    joints = [j for j in JOINT_ORDER if j in frames.columns]
+    wide = with_chunk(frames.select("video_id", key, "ts", "frame_idx", *joints), limits)
+    numbered = stage(scan(wide, s, count="pos"))
+    known = {j: F.when(F.col(j).isNotNull(), F.struct("pos", F.col(j).alias("value"))) for j in joints}
+    near = scan(numbered, s, before={f"_l_{j}": e for j, e in known.items()},
+                after={f"_r_{j}": e for j, e in known.items()})
+
+    def filled(j: str) -> Column:
+        left, right = F.col(f"_l_{j}"), F.col(f"_r_{j}")
+        slope = (right["value"] - left["value"]) / (right["pos"] - left["pos"]).cast("double")
+        return F.coalesce(F.col(j), slope * (F.col("pos") - left["pos"]) + left["value"], left["value"], right["value"])
+
+    long = near.select("video_id", key, (F.col("pos") - 1).alias("pos"), *[filled(j).alias(j) for j in joints]).unpivot(
+        ["video_id", key, "pos"], joints, "joint", "value")
+    counts = numbered.groupBy("video_id", key).agg(F.count(F.lit(1)).alias("n"), *[F.count(j).alias(j) for j in joints])
+    facts = counts.unpivot(["video_id", key, "n"], joints, "joint", "_v")
     usable = facts.where((F.col("_v") >= 3) | ((F.col("_v") == F.col("n")) & (F.col("n") > 0))).drop("_v")
-    return near.select(*_keys(key), "ts", "frame_idx", (F.col("_pos") - 1).alias("pos"),
-                       filled.alias("value")).join(usable, _keys(key))
+    return long.join(usable, _keys(key))
 
 
 def detrend(filled: DataFrame, key: str = "worker_id") -> DataFrame:
@@ -211,13 +213,14 @@ def combine(by_peaks: DataFrame, by_spectrum: DataFrame, key: str = "worker_id")
                        .when(ct >= cf, F.col("t")).otherwise(F.col("f")).alias("r")).select(*_keys(key), "r.*")
 
 
-def repetition(series: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
-    """Long joint series → one repetition result per series that is long enough."""
-    flat = stage(detrend(stage(fill_gaps(series, key, limits)), key)
+def repetition(frames: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
+    """Wide angles → one repetition result per (worker, joint) series that is long enough."""
+    flat = stage(detrend(stage(fill_gaps(frames, key, limits)), key)
                  .where((F.col("n") >= int(limits.min_signal_s * limits.sample_fps)) & (F.col("n") >= 10)))
     names = flat.select(*_keys(key)).distinct()
-    rate = peak_rate(stage(peaks(flat, key, limits)), names, key, limits)
-    return combine(rate, spectrum_rate(flat, key, limits), key)
+    rates = stage_together(peaks=lambda: peak_rate(stage(peaks(flat, key, limits)), names, key, limits),
+                           spectrum=lambda: spectrum_rate(flat, key, limits))
+    return combine(rates["peaks"], rates["spectrum"], key)
 
 
 def best_joint(results: DataFrame, workers: DataFrame, key: str = "worker_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from postura.config import DEFAULTS, Thresholds
@@ -90,36 +90,34 @@ def stitch_candidates(meta: DataFrame, limits: Thresholds = DEFAULTS) -> DataFra
                                   F.least("_near", "_mean").alias("distance"))
 
 
-def _yield_round(edges: DataFrame) -> DataFrame:
-    """Every earlier tracklet asks for its nearest later one; a later one listens only to the earliest asker."""
+def _ask(edges: DataFrame) -> DataFrame:
+    """One round: every earlier tracklet asks for its nearest later one, and a later one listens only to its earliest
+    asker. Adds ``asks`` and ``lives`` (false where an earlier asker holds the later tracklet)."""
     asker = Window.partitionBy("video_id", "o1").orderBy("distance", "o2")
     asked = Window.partitionBy("video_id", "o2")
-    edges = edges.withColumn("_asks", F.row_number().over(asker) == 1)
-    held = F.min(F.when(F.col("_asks"), F.col("o1"))).over(asked)
-    edges = edges.withColumn("_held", held)
-    return edges.where(F.col("_held").isNull() | (F.col("o1") <= F.col("_held"))).drop("_held")
+    edges = edges.withColumn("asks", F.row_number().over(asker) == 1)
+    held = F.min(F.when(F.col("asks"), F.col("o1"))).over(asked)
+    return edges.withColumn("lives", F.coalesce(F.col("o1") <= held, F.lit(True)))
 
 
-def successors(candidates: DataFrame) -> DataFrame:
+def successors(candidates: DataFrame, rounds: int = 4) -> DataFrame:
     """The greedy choice "in start order, take the nearest tracklet still free", found in parallel rounds.
 
     Later tracklets all prefer the earliest asker, so the greedy result is the one stable matching of askers and
     asked, and repeated asking reaches it. Each round is two window steps over candidate edges; no video is processed
-    in one piece. Stops when a batch of rounds drops no edge.
+    in one piece. Rounds run in batches; a batch whose last round drops no edge is the last.
     """
-    edges = stage(candidates.select("video_id", "o1", "o2", "distance"))
-    left = edges.count()
+    edges = candidates.select("video_id", "o1", "o2", "distance")
     while True:
-        batch = edges
-        for _ in range(3):
-            batch = _yield_round(batch).drop("_asks")
-        edges = stage(batch)
-        now = edges.count()
-        if now == left:
-            break
-        left = now
-    return _yield_round(edges).where("_asks").select(
-        "video_id", F.col("o1.raw_id").alias("raw_1"), F.col("o2.raw_id").alias("raw_2"))
+        for _ in range(rounds - 1):
+            edges = _ask(edges).where("lives").drop("asks", "lives")
+        dropped = Observation()
+        last = _ask(edges).observe(dropped, F.count_if(~F.col("lives")).alias("n"))
+        edges = stage(last.where("lives").drop("lives"))
+        if not dropped.get["n"]:
+            return edges.where("asks").select("video_id", F.col("o1.raw_id").alias("raw_1"),
+                                              F.col("o2.raw_id").alias("raw_2"))
+        edges = edges.drop("asks")
 
 
 def chains(meta: DataFrame, links: DataFrame) -> DataFrame:

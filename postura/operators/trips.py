@@ -121,10 +121,11 @@ def trips(smoothed: DataFrame, key: str = "worker_id", limits: Thresholds = DEFA
     while True:
         hand_over = done.select("video_id", key, "chunk", "given", _carry_of(F.col("out")).alias("_out"))
         due = hand_over.withColumn("_due", F.coalesce(F.lag("_out").over(across), _fresh()))
-        wrong = stage(due.where(~F.col("_due").eqNullSafe(F.col("given")))
-                      .select("video_id", key, "chunk", F.col("_due").alias("given")))
+        wrong = (due.where(~F.col("_due").eqNullSafe(F.col("given")))
+                 .select("video_id", key, "chunk", F.col("_due").alias("given")))
         if wrong.isEmpty():
             break
+        wrong = stage(wrong)
         kept = done.join(wrong.drop("given"), ["video_id", key, "chunk"], "left_anti")
         done = stage(kept.unionByName(fold(slices.join(wrong, ["video_id", key, "chunk"]))))
     return done.select("video_id", key, F.explode("out.trips").alias("_t")).select("video_id", key, "_t.*")

@@ -17,7 +17,7 @@ from postura.operators import signals as G
 from postura.operators import tracklets as K
 from postura.operators import trips as T
 from postura.operators.frames import classify
-from postura.operators.ordered import stage
+from postura.operators.ordered import stage, stage_together
 from postura.sources.observation import work_objects
 
 
@@ -33,10 +33,13 @@ class Analysis:
 
 def analyse(frames: DataFrame, detections: DataFrame, limits: Thresholds = DEFAULTS) -> Analysis:
     """Labels per raw track, re-linked ids, object association, bouts."""
-    ids = stage(K.stitch(frames, limits))
-    labelled = stage(J.unify_ids(classify(frames, "raw_id", limits), ids))
-    near = stage(J.objects_of_persons(labelled, work_objects(detections, limits), limits, keep=("raw_id", "worker_id")))
-    return Analysis(labelled, near, stage(B.segment(labelled, "worker_id", limits)), ids)
+    first = stage_together(ids=lambda: K.stitch(frames, limits), labels=lambda: classify(frames, "raw_id", limits))
+    labelled = stage(J.unify_ids(first["labels"], first["ids"]))
+    objects = work_objects(detections, limits)
+    then = stage_together(
+        near=lambda: J.objects_of_persons(labelled, objects, limits, keep=("raw_id", "worker_id")),
+        bouts=lambda: B.segment(labelled, "worker_id", limits))
+    return Analysis(labelled, then["near"], then["bouts"], first["ids"])
 
 
 def frame_facts(frames: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
@@ -66,6 +69,7 @@ def assemble(facts: DataFrame, bouts: DataFrame, near: DataFrame, repetition: Da
     wide = facts
     for part in parts:
         wide = wide.join(part, on, "left")
+    wide = stage(wide)
     c = F.col
     wide = wide.withColumns({
         "load_events": F.coalesce("load_events", F.lit(0)), "trip_count": F.coalesce("trip_count", F.lit(0)),
@@ -84,10 +88,9 @@ def worker_report(frames: DataFrame, detections: DataFrame, limits: Thresholds =
                   run: Analysis | None = None) -> DataFrame:
     """Frames (see ``pose_frames``, with ``bbox``) and detections → one wide row per worker."""
     run = run or analyse(frames, detections, limits)
-    facts = frame_facts(run.frames, limits)
-    repetition = stage(G.best_joint(G.repetition(G.joint_series(run.frames), limits=limits), facts))
-    report = assemble(facts, run.bouts, run.near, repetition, T.count_trips(run.frames, limits=limits),
-                      SC.reba_worker(run.frames), SC.rula_worker_pipeline(run.frames, repetition))
-    return report
-
-
+    facts = stage(frame_facts(run.frames, limits))
+    parts = stage_together(
+        repetition=lambda: G.best_joint(G.repetition(run.frames, limits=limits), facts),
+        trips=lambda: T.count_trips(run.frames, limits=limits), reba=lambda: SC.reba_worker(run.frames))
+    rula = SC.rula_worker_pipeline(run.frames, parts["repetition"])
+    return assemble(facts, run.bouts, run.near, parts["repetition"], parts["trips"], parts["reba"], rula)
