@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from postura.config import DEFAULTS, Thresholds
 from postura.functions.numeric import dbl, rnd
 from postura.operators.frames import with_chunk
+from postura.operators.long_series import long_peaks, long_spectrum
 from postura.operators.ordered import Series, scan, stage, stage_together
 
 # Python workers get these functions by value, so executors need no copy of the package.
@@ -138,6 +139,13 @@ def _arrays(detrended: DataFrame, key: str) -> DataFrame:
         *_keys(key), "n", F.transform("_s", lambda p: p["value"]).alias("values"))
 
 
+def _by_length(detrended: DataFrame, limits: Thresholds) -> tuple[DataFrame, DataFrame | None]:
+    """Series that one task can hold whole, and the longer ones, if any."""
+    fits = F.col("n") <= limits.series_rows
+    long = detrended.where(~fits)
+    return (detrended, None) if long.isEmpty() else (detrended.where(fits), long)
+
+
 def peaks(detrended: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
     """Positions of prominent peaks per series."""
     distance = max(1, int(limits.sample_fps / limits.freq_max_hz)) if limits.freq_max_hz > 0 else 1
@@ -147,7 +155,11 @@ def peaks(detrended: DataFrame, key: str = "worker_id", limits: Thresholds = DEF
     def positions(values: pd.Series) -> pd.Series:
         return values.map(lambda v: find_peaks(np.asarray(v), distance, least))
 
-    return _arrays(detrended, key).select(*_keys(key), "n", F.explode(positions("values")).alias("pos"))
+    short, long = _by_length(detrended, limits)
+    found = _arrays(short, key).select(*_keys(key), "n", F.explode(positions("values")).alias("pos"))
+    if long is not None:
+        found = found.unionByName(long_peaks(long, _keys(key), distance, least, limits.series_rows))
+    return found
 
 
 def _repeat_columns(freq: Column, conf: Column, rounded: Column, limit: float) -> dict[str, Column]:
@@ -185,7 +197,10 @@ def spectrum_rate(detrended: DataFrame, key: str = "worker_id", limits: Threshol
         return pd.DataFrame([spectrum(np.asarray(v), fps, low, high) or none for v in values],
                             columns=["hz", "peak", "mean"], dtype="float64")
 
-    raw = _arrays(detrended, key).select(*_keys(key), strongest("values").alias("_r")).select(*_keys(key), "_r.*")
+    short, long = _by_length(detrended, limits)
+    raw = _arrays(short, key).select(*_keys(key), strongest("values").alias("_r")).select(*_keys(key), "_r.*")
+    if long is not None:
+        raw = raw.unionByName(long_spectrum(long, _keys(key), fps, low, high))
     ratio = (F.col("peak") / (F.col("mean") + dbl(1e-8)) - 1.0) / 5.0
     conf = F.when(F.col("hz").isNull(), dbl(0)).otherwise(F.greatest(dbl(0), F.least(dbl(1), ratio)))
     cols = _repeat_columns(F.col("hz"), conf, F.col("hz").isNotNull(), 0.3)

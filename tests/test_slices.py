@@ -222,3 +222,25 @@ def test_gaps_are_filled_like_interp(spark, width):
             assert np.allclose([got[w][i] for i in range(len(v))], want)
         else:
             assert w not in got
+
+
+def joint_rows(seed):
+    rnd = random.Random(seed)
+    rows = []
+    for w, n in [(1, 61), (2, 64), (3, 97)]:
+        level = 0.0
+        for i in range(n):
+            level = level + rnd.choice([-4.0, -2.0, 0.0, 2.0, 4.0])
+            wave = 25 * math.sin(2 * math.pi * i * (0.05 + 0.06 * w)) if w != 3 else 0.0
+            rows.append((1, w, "trunk", i, n, round(level + wave, 3)))
+    return rows
+
+
+@pytest.mark.parametrize("rows_per_task,fps", [(8, 5.0), (30, 5.0), (8, 14.0)])
+def test_long_series_equal_short_ones(spark, rows_per_task, fps):
+    df = stage(spark.createDataFrame(joint_rows(21), "video_id long, worker_id long, joint string, pos long, n long, value double"))
+    whole, cut = Thresholds(sample_fps=fps), Thresholds(sample_fps=fps, series_rows=rows_per_task)
+    key = lambda limits: sorted((r.worker_id, r.pos) for r in SG.peaks(df, limits=limits).collect())
+    assert key(cut) == key(whole) and len(key(whole)) > 10
+    a, b = ({r.worker_id: r for r in SG.spectrum_rate(df, limits=x).collect()} for x in (whole, cut))
+    assert a == b
