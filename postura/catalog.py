@@ -119,7 +119,7 @@ class Tables:
 
     @cached_property
     def report(self) -> DataFrame:
-        return stage(W.worker_report(self.frames, self.detections, run=self.run))
+        return stage(W.assemble(self.run))
 
 
 def query(name: str, select: str | None = None, mode: str = "plain"):
@@ -997,7 +997,7 @@ def _(t):
        + """ FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(frame_idx AS BIGINT)) AS tm FROM lab_worker_id)
   GROUP BY 1, 2, 3""")
 def _(t):
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").cast("timestamp")
+    start = F.timestamp_seconds(F.lit(1704067200))  # 2024-01-01 00:00:00 UTC
     timed = t.labelled.withColumn("event_time", ST.event_time(F.col("frame_idx").cast("double"), start))
     out = ST.exposure_5min(timed)
     return out.withColumn("window_start", F.unix_seconds("window_start"))

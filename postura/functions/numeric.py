@@ -19,7 +19,7 @@ def rnd(value: Column, places: int = 0) -> Column:
 
 
 def rnd_int(value: Column) -> Column:
-    return F.rint(value).cast("int")
+    return F.rint(value).cast("long")
 
 
 def clip(value: Column, low: float, high: float) -> Column:

@@ -191,7 +191,7 @@ def adi_fatigue(index: Column, longest_bout_s: Column) -> Column:
 
 
 def fatigue_minutes(tracked: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(tracked / 60.0).cast("int"))
+    return F.greatest(F.lit(1), F.ceil(tracked / 60.0)).cast("long")
 
 
 def fatigue_at(fatigue: Column, minute: Column, minutes: Column) -> Column:
@@ -241,7 +241,7 @@ def hourly(tracked: Column, durations: dict[str, Column], rest_count: Column, lo
     texts = {f"{p}_hms_1hr": hms_rounded(c(f"{p}_1hr")) for p in HOURLY_PARTS}
     shares = {f"{p}_share_1hr": rnd(c(f"{p}_1hr") / 3600.0 * 100.0, 1) for p in HOURLY_PARTS}
     active = F.greatest(dbl(0), rnd(dbl(3600) - c("rest_1hr"), 1))
-    cycles = F.when(cpm > 0, rnd_int(cpm * (c("active_1hr") / 60.0))).otherwise(0)
+    cycles = F.when(cpm > 0, rnd_int(cpm * (c("active_1hr") / 60.0))).otherwise(F.lit(0).cast("long"))
     return [
         {"scaling_factor": rnd(scale, 3), **secs,
          "rest_count_1hr": rnd_int(rest_count * scale), "load_events_1hr": rnd_int(loads * scale),

@@ -163,6 +163,21 @@ def csv_table(report: DataFrame, videos: DataFrame) -> DataFrame:
         _or("reba_score", "N/A").alias("REBA Score"), _or("reba_level", "N/A").alias("Risk Level"))
 
 
+def _video_info() -> Column:
+    return F.struct(F.col("name").alias("filename"), F.col("duration_s").alias("duration_seconds"),
+                    F.concat_ws("x", "width", "height").alias("resolution"), "fps", "total_frames",
+                    hms_truncated(F.col("duration_s")).alias("duration_formatted"))
+
+
+def video_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
+    """One JSON document per video: its data and the number of workers."""
+    workers = report.groupBy("video_id").agg(F.count(F.lit(1)).alias("_w"))
+    summary = F.struct(F.coalesce("_w", F.lit(0)).alias("total_workers_detected"),
+                       hms_truncated(F.col("duration_s")).alias("video_duration_formatted"))
+    doc = F.struct(_video_info().alias("video_info"), summary.alias("summary"))
+    return videos.join(workers, "video_id", "left").select("video_id", F.to_json(doc).alias("document"))
+
+
 def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
     """One JSON document per worker with every bounded block.
 
@@ -170,10 +185,7 @@ def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
     ``series_documents``; nothing unbounded is collected into one row.
     """
     c = F.col
-    v = videos.select("video_id", F.struct(
-        c("name").alias("filename"), c("duration_s").alias("duration_seconds"),
-        F.concat_ws("x", "width", "height").alias("resolution"), "fps", "total_frames",
-        hms_truncated(c("duration_s")).alias("duration_formatted")).alias("video_info"))
+    v = videos.select("video_id", _video_info().alias("video_info"))
     block = lambda p: F.struct(c(f"{p}_s").alias("duration_seconds"), hms_truncated(c(f"{p}_s")).alias("duration_formatted"),
                                share(c(f"{p}_s"), c("tracked_s")).alias("percentage"))
     reps = F.struct(*[c(f"{p}_reps") for p in ("sitting", "squatting", "standing", "bending", "walking")])
@@ -184,7 +196,7 @@ def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
         F.struct("is_repetitive", "cycles_per_minute", c("freq_hz").alias("frequency_hz"),
                  c("confidence")).alias("6_repetitive_movement"),
         F.struct(c("trip_count").alias("count"), c("path_px").alias("total_distance_pixels")).alias("7_trips"),
-        c("tools").alias("8_tools_equipment"),
+        c("tool_usage").alias("8_tools_equipment"),
         F.struct("dominant_posture", "distribution", c("avg_trunk").alias("avg_trunk_flexion_degrees"),
                  c("max_trunk").alias("max_trunk_flexion_degrees"), c("avg_knee").alias("avg_knee_angle_degrees"),
                  c("severe_bending_s").alias("severe_bending_seconds"), reps.alias("reps")).alias("9_posture"),

@@ -131,7 +131,7 @@ def drudgery(df: DataFrame) -> DataFrame:
 def fatigue_curve(df: DataFrame) -> DataFrame:
     """One row per started minute of the session."""
     minutes = df.withColumn("_minutes", S.fatigue_minutes(F.col("tracked_s")))
-    rows = minutes.withColumn("minute", F.explode(F.sequence(F.lit(1), F.col("_minutes"))))
+    rows = minutes.withColumn("minute", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_minutes"))))
     return rows.select("video_id", "worker_id", "minute",
                        S.fatigue_at(F.col("fatigue_level"), F.col("minute"), F.col("_minutes")).alias("fatigue"))
 

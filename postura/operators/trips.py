@@ -110,7 +110,9 @@ def trips(smoothed: DataFrame, key: str = "worker_id", limits: Thresholds = DEFA
     """
     enough = long_enough(smoothed, key, limits).select("video_id", key)
     points = F.array_sort(F.collect_list(F.struct("ts", "frame_idx", "sx", "sy", "direction")))
-    slices = stage(smoothed.join(enough, ["video_id", key]).groupBy("video_id", key, "chunk").agg(points.alias("pts")))
+    # grouped before the join: rows spread by slice, not by worker
+    sliced = smoothed.groupBy("video_id", key, "chunk").agg(points.alias("pts"))
+    slices = stage(sliced.join(enough, ["video_id", key], "left_semi"))
 
     def fold(df: DataFrame) -> DataFrame:
         return stage(df.select("video_id", key, "chunk", "given",

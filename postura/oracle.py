@@ -71,7 +71,7 @@ BLOCKS["vid"] = """
   SELECT CAST(n_nationkey AS BIGINT) AS video_id,
     lower(n_name) || ['.mp4','.avi','.mov','.mkv','.wmv','.txt'][n_nationkey%6 + 1] AS name,
     24e0 + (n_nationkey%3)*3e0 AS fps, CAST(2000 + n_nationkey*3000 AS BIGINT) AS total_frames,
-    n_nationkey*100 AS size_mb,
+    CAST(n_nationkey*100 AS BIGINT) AS size_mb,
     """ + r("(2000 + n_nationkey*3000)/(24e0 + (n_nationkey%3)*3e0)", 2) + """ AS duration_s
   FROM nation"""
 

@@ -23,57 +23,52 @@ from postura.sources.observation import work_objects
 
 @dataclass
 class Analysis:
-    """Intermediate tables of one run; each is written once and read by several steps."""
+    """Tables of one run; each is written once and read by several steps."""
 
     frames: DataFrame      # labelled frames with worker_id
+    ids: DataFrame         # raw_id → unified_id
     near: DataFrame        # objects near a worker
     bouts: DataFrame
-    ids: DataFrame         # raw_id → unified_id
+    facts: DataFrame       # frame statistics per worker
+    repetition: DataFrame
+    trips: DataFrame
+    reba: DataFrame
 
 
 def analyse(frames: DataFrame, detections: DataFrame, limits: Thresholds = DEFAULTS) -> Analysis:
-    """Labels per raw track, re-linked ids, object association, bouts."""
+    """Labels per raw track and re-linked ids, then everything that needs only the labelled frames."""
     first = stage_together(ids=lambda: K.stitch(frames, limits), labels=lambda: classify(frames, "raw_id", limits))
     labelled = stage(J.unify_ids(first["labels"], first["ids"]))
     objects = work_objects(detections, limits)
-    then = stage_together(
+    parts = stage_together(
         near=lambda: J.objects_of_persons(labelled, objects, limits, keep=("raw_id", "worker_id")),
-        bouts=lambda: B.segment(labelled, "worker_id", limits))
-    return Analysis(labelled, then["near"], then["bouts"], first["ids"])
-
+        bouts=lambda: B.segment(labelled, "worker_id", limits),
+        facts=lambda: A.frame_facts(labelled, limits=limits),
+        repetition=lambda: G.best_joint(G.repetition(labelled, limits=limits), A.min_records(labelled, limits=limits)),
+        trips=lambda: T.count_trips(labelled, limits=limits),
+        reba=lambda: SC.reba_worker(labelled))
+    return Analysis(labelled, first["ids"], **parts)
 
-def frame_facts(frames: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
-    """All plain frame statistics of a worker in one pass; workers with too few frames drop out."""
-    n = F.count("shoulder")
-    pct = lambda edge: F.when(n > 0, rnd(F.count_if(F.col("shoulder") >= edge) / n * 100.0, 1)).otherwise(dbl(0))
-    mean = lambda c: rnd(F.avg(c), 1)
-    return frames.groupBy("video_id", "worker_id").agg(
-        F.count(F.lit(1)).alias("n_frames"), F.count_if(F.col("trunk") > limits.severe_deg).alias("severe_frames"),
-        mean("trunk").alias("avg_trunk"), rnd(F.max("trunk"), 1).alias("max_trunk"), mean("hip").alias("avg_hip"),
-        mean("knee").alias("avg_knee"), mean("shoulder").alias("avg_shoulder"),
-        rnd(F.max("shoulder"), 1).alias("max_shoulder"), mean("elbow").alias("avg_elbow"),
-        pct(45.0).alias("sh45_pct"), pct(90.0).alias("sh90_pct"),
-    ).where(F.col("n_frames") >= limits.min_records)
 
-
-def assemble(facts: DataFrame, bouts: DataFrame, near: DataFrame, repetition: DataFrame, trips: DataFrame,
-             reba: DataFrame, rula: DataFrame) -> DataFrame:
+def assemble(run: Analysis) -> DataFrame:
     """Left joins of the per-worker parts, all on (video, worker), then the derived measures."""
     on = ["video_id", "worker_id"]
+    rula = SC.rula_worker_pipeline(run.frames, run.repetition)
     parts = [
-        A.tracked_time(bouts), A.posture_time(bouts), A.work_rest(bouts), A.distribution_wide(bouts),
-        A.dominant(bouts), repetition, trips, A.tools_of_worker(near), A.load_events(near),
-        reba.select(*on, F.col("p90_score").alias("reba_score"), F.col("risk_level").alias("reba_level")),
+        A.bout_facts(run.bouts), A.label_facts(run.bouts), run.repetition, run.trips, A.tools_of_worker(run.near),
+        A.load_events(run.near),
+        run.reba.select(*on, F.col("p90_score").alias("reba_score"), F.col("risk_level").alias("reba_level")),
         rula.select(*on, F.col("p90_score").alias("rula_score"), F.col("action_level").alias("rula_level")),
     ]
-    wide = facts
+    wide = run.facts
     for part in parts:
         wide = wide.join(part, on, "left")
     wide = stage(wide)
     c = F.col
+    no_use = F.array().cast(dict(wide.dtypes)["tool_usage"])
     wide = wide.withColumns({
         "load_events": F.coalesce("load_events", F.lit(0)), "trip_count": F.coalesce("trip_count", F.lit(0)),
-        "tools": F.coalesce("tools", F.array().cast("array<string>")),
+        "tools": F.coalesce("tools", F.array().cast("array<string>")), "tool_usage": F.coalesce("tool_usage", no_use),
         "severe_bending_s": A.severe_seconds(c("severe_frames"), c("n_frames"), c("tracked_s"))})
     wide = A.with_arm_exposure(wide.withColumn(
         "severe_pct", rnd(c("severe_bending_s") / F.greatest(dbl(1), c("tracked_s")) * 100.0, 1)))
@@ -84,13 +79,18 @@ def assemble(facts: DataFrame, bouts: DataFrame, near: DataFrame, repetition: Da
         p: rnd(c(p), 1) for p in ("postural", "repetition", "work_rest", "load", "arm")})
 
 
-def worker_report(frames: DataFrame, detections: DataFrame, limits: Thresholds = DEFAULTS,
-                  run: Analysis | None = None) -> DataFrame:
+def worker_report(frames: DataFrame, detections: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
     """Frames (see ``pose_frames``, with ``bbox``) and detections → one wide row per worker."""
-    run = run or analyse(frames, detections, limits)
-    facts = stage(frame_facts(run.frames, limits))
-    parts = stage_together(
-        repetition=lambda: G.best_joint(G.repetition(run.frames, limits=limits), facts),
-        trips=lambda: T.count_trips(run.frames, limits=limits), reba=lambda: SC.reba_worker(run.frames))
-    rula = SC.rula_worker_pipeline(run.frames, parts["repetition"])
-    return assemble(facts, run.bouts, run.near, parts["repetition"], parts["trips"], parts["reba"], rula)
+    return assemble(analyse(frames, detections, limits))
+
+
+def report_series(run: Analysis) -> dict[str, DataFrame]:
+    """The series that accompany the worker documents, one row per element."""
+    return {
+        "activity_timeline": run.bouts.select("video_id", "worker_id", F.col("label").alias("activity"), "start_time",
+                                              "end_time", "duration", "is_rest"),
+        "angle_time_series": A.angle_series(run.frames),
+        "arm_angle_time_series": A.arm_series(run.frames),
+        "load_instances": J.loads(run.near).select("video_id", "worker_id", F.col("ts").alias("timestamp"),
+                                                   F.col("class_name").alias("object_class")),
+    }

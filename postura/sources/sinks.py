@@ -8,10 +8,12 @@ from postura.operators import report_tables as R
 
 
 def write_json(report: DataFrame, videos: DataFrame, path: str, series: dict[str, DataFrame] | None = None) -> None:
-    """``<path>/workers`` holds one document per worker, ``<path>/<kind>`` the lines of each growing series."""
-    R.json_documents(report, videos).select("video_id", "document").write.partitionBy("video_id").text(f"{path}/workers")
-    for kind, rows in (series or {}).items():
-        R.series_documents(rows, kind).select("video_id", "document").write.partitionBy("video_id").text(f"{path}/{kind}")
+    """``<path>/videos`` and ``<path>/workers`` hold one document per row, ``<path>/<kind>`` the lines of each growing
+    series (see ``report_series``)."""
+    tables = {"videos": R.video_documents(report, videos), "workers": R.json_documents(report, videos)}
+    tables.update({kind: R.series_documents(rows, kind) for kind, rows in (series or {}).items()})
+    for kind, docs in tables.items():
+        docs.select("video_id", "document").write.partitionBy("video_id").text(f"{path}/{kind}")
 
 
 def write_csv(report: DataFrame, videos: DataFrame, path: str) -> None:

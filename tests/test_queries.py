@@ -29,15 +29,16 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_sinks_write_all_workers(spark, tmp_path):
-    from postura.operators import aggregates as A
-    from postura.operators import report_tables as R
+    from postura.plans.worker_report import report_series
     from postura.sources import sinks
 
     t = catalog.tables(spark, SF)
-    sinks.write_json(t.report, t.videos, str(tmp_path / "json"), {"timeline": R.bout_timeline(t.run.bouts),
-                                                                  "angles": A.angle_series(t.run.frames)})
+    series = report_series(t.run)
+    sinks.write_json(t.report, t.videos, str(tmp_path / "json"), series)
     sinks.write_csv(t.report, t.videos, str(tmp_path / "csv"))
     n = t.report.count()
     assert spark.read.text(str(tmp_path / "json/workers")).count() == n
-    assert spark.read.json(str(tmp_path / "json/angles")).count() == A.angle_series(t.run.frames).count()
+    assert spark.read.text(str(tmp_path / "json/videos")).count() == 25
+    for kind, rows in series.items():
+        assert spark.read.json(str(tmp_path / "json" / kind)).count() == rows.count()
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == n
