@@ -26,13 +26,12 @@ def _pieces(frames: DataFrame, key: str, limits: Thresholds) -> DataFrame:
     marked = with_chunk(frames.select("video_id", key, "ts", "frame_idx", "label", "disp"), limits).withColumn(
         "_new", F.coalesce((F.lag("label").over(w) != F.col("label")).cast("int"), F.lit(1)))
     runs = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    at = F.struct("ts", "frame_idx")
-    return runs.groupBy("video_id", key, "chunk", "_run").agg(
-        F.first("label").alias("label"),
-        F.min(at).alias("_from"), F.max(at).alias("_to"),
-        F.min_by(F.struct("disp"), at).alias("_head"),
+    # the label is a key as well: number buffers only, hence a hash aggregate
+    return runs.groupBy("video_id", key, "chunk", "_run", "label").agg(
+        F.min("ts").alias("_t0"), F.min("frame_idx").alias("_f0"), F.max("ts").alias("_t1"),
+        F.max("frame_idx").alias("_f1"), F.min_by("disp", "ts").alias("head_disp"),
         F.count(F.lit(1)).alias("n"), F.sum("disp").alias("sum_disp"), F.count("disp").alias("n_disp"),
-    )
+    ).withColumn("_from", F.struct(F.col("_t0").alias("ts"), F.col("_f0").alias("frame_idx")))
 
 
 def islands(frames: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
@@ -51,15 +50,14 @@ def islands(frames: DataFrame, key: str = "worker_id", limits: Thresholds = DEFA
                          .over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
     linked = pieces.join(edges, ["video_id", key, "chunk"]).withColumn(
         "_island", F.when((F.col("_run") == 1) & F.col("_joins"), F.col("_open")).otherwise(F.col("_from")))
-    return linked.groupBy("video_id", key, "_island").agg(
-        F.first("label").alias("label"), F.max("_to").alias("_to"),
-        F.min_by("_head", "_from").alias("_head"),
+    return linked.groupBy("video_id", key, "_island", "label").agg(
+        F.max("_t1").alias("last_time"), F.max("_f1").alias("last_frame"),
+        F.min_by("head_disp", "_t0").alias("head_disp"),
         F.sum("n").alias("n"), F.sum("sum_disp").alias("sum_disp"), F.sum("n_disp").alias("n_disp"),
     ).select(
         "video_id", key, "label",
         F.col("_island.ts").alias("start_time"), F.col("_island.frame_idx").alias("start_frame"),
-        F.col("_to.ts").alias("last_time"), F.col("_to.frame_idx").alias("last_frame"),
-        F.col("_head.disp").alias("head_disp"), "n", "sum_disp", "n_disp",
+        "last_time", "last_frame", "head_disp", "n", "sum_disp", "n_disp",
     )
 
 
@@ -127,13 +125,11 @@ def merge_adjacent(kept: DataFrame, key: str = "worker_id", limits: Thresholds =
     first, past = F.col("_open.pos"), F.coalesce(F.col("_next"), F.col("n_bouts") + 1)
     steps = F.when(F.col("pos") == first, past - first - 1).otherwise(past - F.col("pos"))
     weighted = seen.withColumn("_part", F.col("avg_disp") * F.pow(dbl(2), -steps.cast("double")))
-    return weighted.groupBy("video_id", key, "_open").agg(
-        F.first("label").alias("label"), F.max(F.struct("end_time", "end_frame")).alias("_stop"),
-        F.sum("_part").alias("avg_disp"),
+    return weighted.groupBy("video_id", key, "_open", "label").agg(
+        F.max("end_time").alias("end_time"), F.max("end_frame").alias("end_frame"), F.sum("_part").alias("avg_disp"),
     ).select(
-        "video_id", key, "label", F.col("_open.start_time").alias("start_time"),
-        F.col("_stop.end_time").alias("end_time"), F.col("_open.start_frame").alias("start_frame"),
-        F.col("_stop.end_frame").alias("end_frame"), "avg_disp",
+        "video_id", key, "label", F.col("_open.start_time").alias("start_time"), "end_time",
+        F.col("_open.start_frame").alias("start_frame"), "end_frame", "avg_disp",
     ).withColumn("duration", _duration()).select("video_id", key, *_BOUT)
 
 

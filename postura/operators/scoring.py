@@ -52,13 +52,13 @@ def rula_frame(frames: DataFrame, repetitive: Column | None = None, load_force:
 def p90_of_scores(scored: DataFrame, fields: list[str], top: int, key: str = "worker_id") -> DataFrame:
     """90th percentile of small integer scores per worker, with the breakdown of the nearest frame.
 
-    Frames are first reduced to at most one row per (worker, score value), before any shuffle; percentile and
-    nearest frame come from those few rows.
+    Frames are first reduced to at most one row per (worker, score value), before any shuffle (number buffers, so by
+    hashing); percentile and nearest frame come from those few rows. "First" goes by frame number.
     """
     if "_n" not in scored.columns:
-        scored = scored.withColumns({"_n": F.lit(1), "_at": F.struct("ts", "frame_idx")})
+        scored = scored.withColumns({"_n": F.lit(1), "_at": F.col("frame_idx")})
     per_score = scored.groupBy("video_id", key, "final_score").agg(
-        F.sum("_n").alias("_n"), F.min("_at").alias("_at"), F.min_by(F.struct(*fields), "_at").alias("_parts"))
+        F.sum("_n").alias("_n"), F.min("_at").alias("_at"), *[F.min_by(f, "_at").alias(f) for f in fields])
     worker = Window.partitionBy("video_id", key)
     run = F.sum("_n").over(worker.orderBy("final_score").rowsBetween(Window.unboundedPreceding, 0))
     ranked = per_score.withColumns({"_upto": run, "_all": F.sum("_n").over(worker)})
@@ -70,9 +70,9 @@ def p90_of_scores(scored: DataFrame, fields: list[str], top: int, key: str = "wo
     exact = F.col("_lo") + (F.coalesce("_hi", "_lo") - F.col("_lo")) * F.col("_frac")
     p90 = F.greatest(F.lit(1), F.least(F.lit(top), F.floor(exact + dbl(1e-9)).cast("int")))
     ranked = ranked.withColumn("_p90", p90)
-    gap = F.struct(F.abs(F.col("final_score") - F.col("_p90")), F.col("_at"))
-    best = ranked.groupBy("video_id", key).agg(F.first("_p90").alias("p90_score"), F.min_by("_parts", gap).alias("_p"))
-    return best.select("video_id", key, "p90_score", *[F.col(f"_p.{f}").alias(f) for f in fields])
+    nearest = worker.orderBy(F.abs(F.col("final_score") - F.col("_p90")), "_at")
+    best = ranked.withColumn("_place", F.row_number().over(nearest)).where("_place = 1")
+    return best.select("video_id", key, F.col("_p90").alias("p90_score"), *fields)
 
 
 def reba_worker(frames: DataFrame, key: str = "worker_id", load_force: Column | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def rula_worker_pipeline(frames: DataFrame, flags: DataFrame, key: str = "worker
     none = F.lit(None).cast("double")
     parts = S.rula_parts(F.col("trunk"), none, none, none, none, none)
     counted = frames.withColumns(parts).groupBy("video_id", key, *parts).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.struct("ts", "frame_idx")).alias("_at"))
+        F.count(F.lit(1)).alias("_n"), F.min("frame_idx").alias("_at"))
     scored = project(counted.join(flags.select("video_id", key, "is_repetitive"), ["video_id", key]),
                      S.rula_totals(F.col("is_repetitive"), F.lit(0)))
     return _rula_levels(p90_of_scores(scored, S.RULA_FIELDS, 7, key))

@@ -11,19 +11,19 @@ from postura.operators.ordered import Series, chunk_of, scan, stage
 
 
 def tracklet_meta(frames: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
-    """Extent of every raw id: one hash aggregate over the frames that have a centroid."""
-    at, pos = F.struct("ts", "frame_idx"), F.struct("x", "y")
+    """Extent of every raw id: one hash aggregate over the frames that have a centroid.
+
+    First and last positions go by frame number, which runs with time inside a track; plain number buffers keep the
+    aggregate hash-based.
+    """
     seen = frames.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ends = [pick(c, "frame_idx").alias(f"{end}_{c}") for end, pick in (("start", F.min_by), ("end", F.max_by))
+            for c in ("x", "y")]
     meta = seen.groupBy("video_id", "raw_id").agg(
-        F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count(F.lit(1)).alias("n_frames"),
-        F.min_by(pos, at).alias("_a"), F.max_by(pos, at).alias("_b"),
+        F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count(F.lit(1)).alias("n_frames"), *ends,
         F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"),
     ).where(F.col("n_frames") >= limits.min_tracklet_frames)
-    return meta.select(
-        "video_id", "raw_id", "start_time", "end_time",
-        F.greatest(dbl(1), F.col("end_time") - F.col("start_time")).alias("duration"), "n_frames",
-        F.col("_a.x").alias("start_x"), F.col("_a.y").alias("start_y"),
-        F.col("_b.x").alias("end_x"), F.col("_b.y").alias("end_y"), "mean_x", "mean_y")
+    return meta.withColumn("duration", F.greatest(dbl(1), F.col("end_time") - F.col("start_time")))
 
 
 def peak_concurrency(meta: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:

@@ -26,11 +26,11 @@ _STATE = "seen array<struct<label:string,weight:double>>, run int"
 class _Vote(StatefulProcessor):
     """Per track: the last labels with their weights, and the length of the running movement."""
 
-    def __init__(self, window: int, walk_frames: int):
-        self.window, self.walk_frames = window, walk_frames
+    def __init__(self, window: int, walk_frames: int, ttl_ms: int | None):
+        self.window, self.walk_frames, self.ttl_ms = window, walk_frames, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("track", _STATE)
+        self.state = handle.getValueState("track", _STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen: list = []
@@ -55,9 +55,11 @@ class _Vote(StatefulProcessor):
         pass
 
 
-def stream_posture(frames: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
+def stream_posture(frames: DataFrame, limits: Thresholds = DEFAULTS, ttl_ms: int | None = None) -> DataFrame:
     """Streaming frames of each track in arrival order → raw and smoothed labels, equal to the batch result.
 
+    With ``ttl_ms``, a track that was silent for so long starts anew.
+
     The rules run as columns on the JVM; the stateful part only counts movement and votes. Needs the RocksDB state
     store (``spark.sql.streaming.stateStore.providerClass``).
     """
@@ -68,8 +70,8 @@ def stream_posture(frames: DataFrame, limits: Thresholds = DEFAULTS) -> DataFram
     rows = ready.select("video_id", "raw_id", "frame_idx", "ts", "conf", "moving",
                         F.col("_s.label").alias("still_label"), F.col("_s.conf").alias("still_conf"))
     return rows.groupBy("video_id", "raw_id").transformWithStateInPandas(
-        statefulProcessor=_Vote(limits.vote_frames, limits.walk_frames), outputStructType=_OUT, outputMode="Append",
-        timeMode="None")
+        statefulProcessor=_Vote(limits.vote_frames, limits.walk_frames, ttl_ms), outputStructType=_OUT,
+        outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
