@@ -583,7 +583,7 @@ def _(t):
   SELECT obs_id, ax, ay, last_value(ax IGNORE NULLS) OVER w AS px, last_value(ay IGNORE NULLS) OVER w AS py FROM points
   WINDOW w AS (PARTITION BY video_id, raw_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 def _(t):
-    return Fr.pose_frames(t.poses).select("obs_id", *rounded("disp"))
+    return Fr.displacement(Fr.pose_frames(t.poses)).select("obs_id", *rounded("disp"))
 
 
 @query("win_walk_run", """SELECT event_id, CAST(CASE WHEN moving THEN rn - coalesce(max(CASE WHEN NOT moving THEN rn END)

@@ -151,14 +151,26 @@ def _boundary(df: DataFrame, s: Series, n: int, forward: bool) -> DataFrame:
     return lifted.select(*df.columns)
 
 
-def with_halo(df: DataFrame, s: Series, back: int = 0, ahead: int = 0) -> DataFrame:
-    """Rows plus copies of neighbouring rows, flagged ``_halo``; drop those after the window step."""
-    parts = df.withColumn(HALO, F.lit(False))
+def with_halo(df: DataFrame, s: Series, back: int = 0, ahead: int = 0, carry: list[str] | None = None,
+              back_known: tuple[str, int] | None = None) -> DataFrame:
+    """Rows plus copies of neighbouring rows, flagged ``_halo``; drop those after the window step.
+
+    ``carry`` names the columns the copies need (all by default; the others are NULL in them), so that the boundary
+    branch reads only those. ``back_known=(column, n)`` adds the last n earlier rows in which the column is known.
+    """
+    slim = df if carry is None else df.select(*s.slice, *s.order, *[c for c in carry if c not in s.order])
+    copies = []
     if back:
-        parts = parts.unionByName(_boundary(df, s, back, True).withColumn(HALO, F.lit(True)))
+        copies.append(_boundary(slim, s, back, True))
+    if back_known:
+        column, n = back_known
+        copies.append(_boundary(slim.where(F.col(column).isNotNull()), s, n, True))
     if ahead:
-        parts = parts.unionByName(_boundary(df, s, ahead, False).withColumn(HALO, F.lit(True)))
-    return parts
+        copies.append(_boundary(slim, s, ahead, False))
+    halo = functools.reduce(DataFrame.unionByName, copies)
+    if back and back_known:
+        halo = halo.dropDuplicates([*s.slice, *s.order])
+    return df.withColumn(HALO, F.lit(False)).unionByName(halo.withColumn(HALO, F.lit(True)), allowMissingColumns=True)
 
 
 def drop_halo(df: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ class Analysis:
 
 def analyse(frames: DataFrame, detections: DataFrame, limits: Thresholds = DEFAULTS) -> Analysis:
     """Labels per raw track and re-linked ids, then everything that needs only the labelled frames."""
+    if "ankle" in frames.columns:  # straight from keypoints: read those once
+        frames = stage(frames)
     first = stage_together(ids=lambda: K.stitch(frames, limits), labels=lambda: classify(frames, "raw_id", limits))
     labelled = stage(J.unify_ids(first["labels"], first["ids"]))
     objects = work_objects(detections, limits)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -20,27 +21,33 @@ from postura.functions.posture import posture_raw
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _OUT = "video_id long, raw_id long, frame_idx long, ts double, raw_label string, label string"
-_STATE = "seen array<struct<label:string,weight:double>>, run int"
+_STATE = "seen array<struct<label:string,weight:double>>, run int, ax double, ay double"
 
 
 class _Vote(StatefulProcessor):
     """Per track: the last labels with their weights, and the length of the running movement."""
 
-    def __init__(self, window: int, walk_frames: int, ttl_ms: int | None):
-        self.window, self.walk_frames, self.ttl_ms = window, walk_frames, ttl_ms
+    def __init__(self, limits: Thresholds, ttl_ms: int | None):
+        self.window, self.walk_frames, self.walk_px = limits.vote_frames, limits.walk_frames, limits.walk_px
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("track", _STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen: list = []
-        run = 0
+        seen, run, last = [], 0, None
         if self.state.exists():
-            seen, run = list(self.state.get()[0]), int(self.state.get()[1])
+            kept, run, ax, ay = self.state.get()
+            seen, last = list(kept), None if ax is None else (ax, ay)
         for pdf in rows:
             out = []
             for r in pdf.sort_values(["ts", "frame_idx"]).itertuples(index=False):
-                run = run + 1 if r.moving else 0
+                moved = r.disp
+                if not r.given:
+                    here = None if math.isnan(r.ax) else (r.ax, r.ay)
+                    moved = math.dist(here, last) if here and last else math.nan
+                    last = here or last
+                run = run + 1 if moved > self.walk_px else 0  # a missing displacement (nan) ends the run
                 walks = run >= self.walk_frames
                 raw, conf = ("walking", 0.88) if walks else (r.still_label, r.still_conf)
                 seen = [*seen, (raw, max(0.1, conf * r.conf))][-self.window:]
@@ -49,7 +56,7 @@ class _Vote(StatefulProcessor):
                     totals[label] = totals.get(label, 0.0) + weight
                 out.append((key[0], key[1], r.frame_idx, r.ts, raw, max(totals, key=totals.get)))
             yield pd.DataFrame(out, columns=["video_id", "raw_id", "frame_idx", "ts", "raw_label", "label"])
-        self.state.update((seen, run))
+        self.state.update((seen, run, *(last or (None, None))))
 
     def close(self) -> None:
         pass
@@ -65,12 +72,15 @@ def stream_posture(frames: DataFrame, limits: Thresholds = DEFAULTS, ttl_ms: int
     """
     low = F.col("hips_low") if "hips_low" in frames.columns else F.lit(False)
     still = posture_raw(F.col("trunk"), F.col("hip"), F.col("knee"), F.lit(False), low, limits)
-    moving = F.coalesce(F.col("disp") > limits.walk_px, F.lit(False))
-    ready = frames.select("video_id", "raw_id", "frame_idx", "ts", "conf", moving.alias("moving"), still.alias("_s"))
-    rows = ready.select("video_id", "raw_id", "frame_idx", "ts", "conf", "moving",
+    given = "disp" in frames.columns  # else the displacement is taken from the ankle point, kept in the state
+    none = F.lit(None).cast("double")
+    moved = [F.col("disp") if given else none.alias("disp")]
+    moved += [none.alias("ax"), none.alias("ay")] if given else [F.col("ankle.x").alias("ax"), F.col("ankle.y").alias("ay")]
+    ready = frames.select("video_id", "raw_id", "frame_idx", "ts", "conf", *moved, still.alias("_s"))
+    rows = ready.select("video_id", "raw_id", "frame_idx", "ts", "conf", "disp", "ax", "ay", F.lit(given).alias("given"),
                         F.col("_s.label").alias("still_label"), F.col("_s.conf").alias("still_conf"))
     return rows.groupBy("video_id", "raw_id").transformWithStateInPandas(
-        statefulProcessor=_Vote(limits.vote_frames, limits.walk_frames, ttl_ms), outputStructType=_OUT,
+        statefulProcessor=_Vote(limits, ttl_ms), outputStructType=_OUT,
         outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 

@@ -94,6 +94,15 @@ def test_displacement_from_last_valid_point(spark, width):
                 last = (r[4]["x"], r[4]["y"])
             assert (got[(t, r[2])] is None) == (want is None)
             assert want is None or math.isclose(got[(t, r[2])], want)
+    # the labelling pass takes the displacement along: same values, and same labels as from a given one
+    c = F.col
+    frames = df.select("*", ((c("frame_idx") * 7 + c("raw_id")) % 50).cast("double").alias("trunk"),
+                       F.lit(160.0).alias("hip"), F.lit(None).cast("double").alias("knee"), F.lit(0.7).alias("conf"))
+    limits = Thresholds(chunk_s=width, walk_px=4.0)
+    along = Fr.classify(frames, limits=limits)
+    given = Fr.classify(Fr.displacement(frames, limits=limits).drop("ankle"), limits=limits)
+    pick = lambda d: sorted((r.raw_id, r.frame_idx, -1.0 if r.disp is None else r.disp, r.raw_label, r.label) for r in d.collect())
+    assert pick(along) == pick(given) and any(r[3] == "walking" for r in pick(along))
 
 
 def walk(seed, n):

@@ -14,8 +14,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 COLUMNS = ["video_id", "raw_id", "frame_idx", "ts", "trunk", "hip", "knee", "disp", "conf"]
 
 
-def test_labels_over_several_batches(spark, tmp_path):
+@pytest.mark.parametrize("given", [True, False])
+def test_labels_over_several_batches(spark, tmp_path, given):
+    """With a given displacement, and with one that the state takes from the ankle point."""
     frames = adapters.frames(spark, SF).select(*COLUMNS)
+    if not given:
+        ankle = F.when(F.col("disp").isNotNull(), F.struct((F.col("disp") * 7 % 40).alias("x"), F.col("trunk").alias("y")))
+        frames = frames.withColumn("ankle", F.when(F.col("trunk").isNotNull(), ankle)).drop("disp")
     source = str(tmp_path / "in")
     # three files in time order: state must carry over from one micro-batch to the next
     for i, (low, high) in enumerate([(0, 9), (9, 21), (21, 1e9)]):
