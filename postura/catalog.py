@@ -754,15 +754,22 @@ def _(t):
 _NF = "radians(greatest(0e0, coalesce(trunk, 0)))"
 _NW = "greatest(0.5e0, k/3e0)"
 _NH = "(20e0 + event_id%50)"
+_NRWL = "*".join([
+    "23e0", f"(25/{O.clip(_NH, '25e0', '63e0')})",
+    f"(1 - 0.003e0*abs({O.clip('(event_id*7)%190', '0e0', '175e0')} - 75))",
+    f"(0.82e0 + 4.5e0/{O.clip('(event_id*3)%200', '25e0', '175e0')})",
+    f"(1 - 0.0032e0*{O.clip('event_id%150', '0e0', '135e0')})",
+    "(CASE WHEN event_id%8 <= 0 THEN 1e0 WHEN event_id%8 <= 1 THEN 0.94e0 WHEN event_id%8 <= 4 THEN 0.84e0 ELSE 0.72e0 END)",
+    "0.95e0"])
+_NFORCE = (f"(42e0*9.81e0*(0.20e0*sin({_NF}) + 0.05e0) + {_NW}*9.81e0*({_NH}/100*sin({_NF}) + 0.15e0))/0.05e0"
+           f" + (42e0 + {_NW})*9.81e0*cos({_NF})")
 
 
 @query("niosh", f"""SELECT event_id, rwl_kg, lifting_index, compression_n, compression_n > 3400 AS compression_exceeded,
   CASE WHEN lifting_index <= 1 AND NOT compression_n > 3400 THEN {O.q(T.LIFT_LOW[0])} WHEN lifting_index <= 2
     AND compression_n <= 4000 THEN {O.q(T.LIFT_MODERATE[0])} ELSE {O.q(T.LIFT_HIGH[0])} END AS lift_risk
   FROM (SELECT *, {O.r(f'{_NW}/rwl_kg', 2)} AS lifting_index FROM (
-   SELECT event_id, k, greatest(0.5e0, {O.r(f'23e0*(25/greatest(25e0, least(63e0, {_NH})))*(1 - 0.003e0*abs(greatest(0e0, least(175e0, (event_id*7)%190)) - 75))*(0.82e0 + 4.5e0/greatest(25e0, least(175e0, (event_id*3)%200)))*(1 - 0.0032e0*greatest(0e0, least(135e0, event_id%150)))*(CASE WHEN event_id%8 <= 0 THEN 1e0 WHEN event_id%8 <= 1 THEN 0.94e0 WHEN event_id%8 <= 4 THEN 0.84e0 ELSE 0.72e0 END)*0.95e0', 2)}) AS rwl_kg,
-    {O.r(f'(42e0*9.81e0*(0.20e0*sin({_NF}) + 0.05e0) + {_NW}*9.81e0*({_NH}/100*sin({_NF}) + 0.15e0))/0.05e0 + (42e0 + {_NW})*9.81e0*cos({_NF})', 1)} AS compression_n
-   FROM f))""")
+   SELECT event_id, k, greatest(0.5e0, {O.r(_NRWL, 2)}) AS rwl_kg, {O.r(_NFORCE, 1)} AS compression_n FROM f))""")
 def _(t):
     e = F.col("event_id")
     d = lambda c: c.cast("double")
