@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import packing
+from postura.llm import packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,8 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 @query("op1_packing")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf, "documents"))
