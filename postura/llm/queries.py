@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import packing, simhash
+from postura.llm import packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_simhash")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(read(spark, sf, "documents"))
