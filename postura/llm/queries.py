@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import packing, pii, simhash
+from postura.llm import packing, pii, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,3 +39,10 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_pii")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(read(spark, sf, "documents"))
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = token_files.write(read(spark, sf, "documents"), token_files.new_folder(spark),
+                                 public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.digest(manifest)
