@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import packing, pii, simhash, token_files
+from postura.llm import line_dedup, packing, pii, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,14 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     manifest = token_files.write(read(spark, sf, "documents"), token_files.new_folder(spark),
                                  public_tokenizers.path("word_bpe_49k.json"))
     return token_files.digest(manifest)
+
+
+@query("op4_line_dedup", line_dedup.SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    cut = line_dedup.drop_boilerplate(read(spark, sf, "documents"), counted=True)
+    return cut.select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score(quality.fit_corpus(read(spark, sf, "documents"), read(spark, sf, "labels")))
