@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import line_dedup, packing, pii, quality, simhash, token_files
+from postura.llm import decontaminate, line_dedup, packing, pii, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_quality")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(quality.fit_corpus(read(spark, sf, "documents"), read(spark, sf, "labels")))
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
