@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import decontaminate, line_dedup, packing, pii, quality, simhash, token_files
+from postura.llm import decontaminate, line_dedup, packing, pages, pii, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("op10_pages")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.extract(read(spark, sf, "pages"))
