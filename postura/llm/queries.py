@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import decontaminate, line_dedup, packing, pages, pii, quality, simhash, token_files
+from postura.llm import decontaminate, embeddings, line_dedup, packing, pages, pii, quality, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_pages")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract(read(spark, sf, "pages"))
+
+
+@query("op9_embeddings")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.link(read(spark, sf, "embeddings"))
