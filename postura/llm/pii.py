@@ -80,9 +80,8 @@ def _confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, kind: str) -> Column:
-    """All matches of a kind, in order, before any check."""
-    pattern = PATTERNS[kind]
+def matches(text: Column, pattern: str) -> Column:
+    """All matches of a pattern in a text that is not null, in order: array of (start, end, value)."""
     gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast(f"array<{MATCH}>")
@@ -95,9 +94,13 @@ def _matches(text: Column, kind: str) -> Column:
 
     # the last gap has no match behind it
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("gap"), values.alias("value"))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
+
+
+def _matches(text: Column, kind: str) -> Column:
+    """All matches of a kind, in order, before any check."""
     possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
-    return F.when(possible, found).otherwise(empty)
+    return F.when(possible, matches(text, PATTERNS[kind])).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def _score(text: Column, kind: str, span: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import decontaminate, embeddings, line_dedup, packing, pages, pii, quality, simhash, token_files
+from postura.llm import decontaminate, embeddings, line_dedup, packing, pages, pii, quality, secret_scan, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_embeddings")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.link(read(spark, sf, "embeddings"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.report(read(spark, sf, "documents"))
