@@ -17,7 +17,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_row", F.lit("extra"))
-    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id in (7, 8)").withColumn("text", F.lit(None).cast("string")))
+    blank = docs.where("doc_id in (7, 8)").withColumns({"doc_id": F.col("doc_id") + 10 ** 6, "text": F.lit(None).cast("string")})
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(blank)
     tables = [docs]
     for _, step in CP.STAGES:
         tables.append(stage(step(spark, tables[-1], SF)))

@@ -42,7 +42,7 @@ def test_round_trip(spark, docs, tmp_path, file_text):
     assert (manifest.count() > 3) == (file_text == 20_000)
     asked = [d for d, _ in docs if d][:5] + [9, 12345]
     found = TF.lookup(manifest, spark.createDataFrame([(d,) for d in asked] + [(None,)], "doc_id long")).collect()
-    whole = {(r.doc_id, bytes(r.value)) for r in TF.read(manifest).collect()}
+    whole = {(r.doc_id, bytes(r.ids)) for r in TF.read(manifest).collect()}
     assert {(r.doc_id, bytes(r.ids)) for r in found} == {w for w in whole if w[0] in asked}
     assert sum(r.doc_id == 9 for r in found) == 2
 
