@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ def main() -> None:
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postura-bench-"))  # one machine
     registered = catalog.queries()
     plan = {n: registered[n] for n in HEADLINE}
     plan.update(bulk_labels=bulk_labels, bulk_segment=bulk_segment, bulk_reba=bulk_reba)

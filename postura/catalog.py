@@ -23,7 +23,7 @@ from postura.operators import scoring as SC
 from postura.operators import signals as SG
 from postura.operators import tracklets as K
 from postura.operators import trips as TR
-from postura.operators.ordered import stage, staging_path
+from postura.operators.ordered import drop_staged, stage, staging_path
 from postura.plans import worker_report as W
 from postura.sources import adapters, observation, sampling, sinks
 from postura.streaming import posture_stream as ST
@@ -151,7 +151,8 @@ def _(t):
 
 @query("src_pose_unroll", "SELECT obs_id, j AS joint_no, n AS joint, " + ", ".join(
     f"{O.r(f'{src}[j+1]', 4)} AS {dst}" for src, dst in (("kx", "x"), ("ky", "y"), ("kc", "conf")))
-    + " FROM kp, (VALUES " + ", ".join(f"({i}, '{n}')" for n, i in G.JOINTS.items()) + ") AS z(j, n)")
+    + " FROM kp, (VALUES " + "(0, 'nose'), (1, 'l_eye'), (2, 'r_eye'), (3, 'l_ear'), (4, 'r_ear'), (5, 'l_sh'), (6, 'r_sh'), (7, 'l_el'), (8, 'r_el'), "
+    "(9, 'l_wr'), (10, 'r_wr'), (11, 'l_hip'), (12, 'r_hip'), (13, 'l_kn'), (14, 'r_kn'), (15, 'l_an'), (16, 'r_an')) AS z(j, n)")
 def _(t):
     return observation.joints_long(t.poses, ["obs_id"]).select("obs_id", "joint_no", "joint", *rounded("x", "y", "conf"))
 
@@ -307,10 +308,10 @@ def _(t):
     return t.joints.select("obs_id", G.hips_low(G.Pose()).alias("hips_low"))
 
 
-@query("posture_raw", f"SELECT event_id, raw_label, {O.r('rule_conf', 4)} AS rule_conf FROM lab_worker_id_2")
+@query("posture_raw", f"SELECT event_id, raw_label, {O.r('rule_conf', 4)} AS rule_conf FROM low_2")
 def _(t):
     c = F.col
-    raw = P.posture_raw(c("trunk"), c("hip"), c("knee"), c("walking"), F.lit(False))
+    raw = P.posture_raw(c("trunk"), c("hip"), c("knee"), c("walking"), c("event_id") % 5 == 0)
     return t.labelled.select("event_id", raw.alias("r")).select("event_id", c("r.label").alias("raw_label"),
                                                                 rnd(c("r.conf"), 4).alias("rule_conf"))
 
@@ -963,7 +964,7 @@ _JSON = {
     "posture": ("$.parameters.9_posture.dominant_posture", "dominant_posture"),
     "reps": ("$.parameters.9_posture.reps.walking_reps", "walking_reps::VARCHAR"),
     "arm": ("$.parameters.arm_postural_study.arm_postural_risk", "arm_risk"),
-    "hour_active": ("$.standardised_1hr_activity.active_formatted", "active_hms_1hr"),
+    "hour_active": ("$.standardised_1hr_activity.active_work_formatted", "active_hms_1hr"),
     "reba": ("$.ergonomic_score.reba_score", "reba_score::VARCHAR"),
     "adi": ("$.drudgery_assessment.drudgery_index", "drudgery_index::VARCHAR"),
     "task": ("$.task_classification.primary_task", "task"),
@@ -1021,7 +1022,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def forget() -> None:
-    """Derive everything anew, as for a measurement."""
+    """Derive everything anew, as for a measurement; intermediate tables are deleted."""
+    for known in _tables.values():
+        drop_staged(known.spark)
     _tables.clear()
 
 

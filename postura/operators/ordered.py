@@ -12,7 +12,6 @@ same for every slice width; a width only sets how many rows one task holds at a
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -71,15 +70,26 @@ def stage_together(**tables: Callable[[], DataFrame]) -> dict[str, DataFrame]:
 
 
 def staging_path(spark: SparkSession) -> str:
-    """A new place in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{root.rstrip('/')}/postura-{uuid.uuid4().hex}"
-
-
-@functools.cache
-def _own_folder() -> str:
-    """Only where the session names no folder, as in tests on one machine."""
-    return tempfile.mkdtemp(prefix="postura-")
+    """A new place in the folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir, or SparkContext.setCheckpointDir, to a folder that the driver and "
+                           "all executors share: intermediate tables are written there")
+    path = f"{root.rstrip('/')}/postura-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+_staged: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this process; call it when no result that reads them is needed any more."""
+    paths = [_staged.pop() for _ in range(len(_staged))]
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def _earlier(w: WindowSpec) -> WindowSpec:

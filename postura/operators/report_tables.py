@@ -163,6 +163,16 @@ def csv_table(report: DataFrame, videos: DataFrame) -> DataFrame:
         _or("reba_score", "N/A").alias("REBA Score"), _or("reba_level", "N/A").alias("Risk Level"))
 
 
+def _json(doc: Column) -> Column:
+    """Absent values are written as null."""
+    return F.to_json(doc, {"ignoreNullFields": "false"})
+
+
+def _metadata() -> Column:
+    return F.struct(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
+                    F.lit("postura").alias("platform"), F.lit("ergonomic_assessment").alias("report_type"))
+
+
 def _video_info() -> Column:
     return F.struct(F.col("name").alias("filename"), F.col("duration_s").alias("duration_seconds"),
                     F.concat_ws("x", "width", "height").alias("resolution"), "fps", "total_frames",
@@ -174,8 +184,8 @@ def video_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
     workers = report.groupBy("video_id").agg(F.count(F.lit(1)).alias("_w"))
     summary = F.struct(F.coalesce("_w", F.lit(0)).alias("total_workers_detected"),
                        hms_truncated(F.col("duration_s")).alias("video_duration_formatted"))
-    doc = F.struct(_video_info().alias("video_info"), summary.alias("summary"))
-    return videos.join(workers, "video_id", "left").select("video_id", F.to_json(doc).alias("document"))
+    doc = F.struct(_metadata().alias("report_metadata"), _video_info().alias("video_info"), summary.alias("summary"))
+    return videos.join(workers, "video_id", "left").select("video_id", _json(doc).alias("document"))
 
 
 def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
@@ -213,10 +223,11 @@ def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
                  "rest_count", c("avg_rest_s").alias("avg_rest_seconds")).alias("11_rest"))
     hour = F.struct("scaling_factor", *[c(f"{p}_hms_1hr").alias(f"{p}_formatted") for p in
                                         ("sitting", "squatting", "standing", "bending", "severe_bending", "walking",
-                                         "rest", "active")],
+                                         "rest")],
+                    c("active_hms_1hr").alias("active_work_formatted"),
                     c("cycles_1hr").alias("repetitive_cycles_1hr"), "load_events_1hr", "trips_1hr")
     doc = F.struct(
-        "video_info", "worker_id", c("tracked_s").alias("total_tracked_time"),
+        _metadata().alias("report_metadata"), "video_info", "worker_id", c("tracked_s").alias("total_tracked_time"),
         hms_truncated(c("tracked_s")).alias("total_tracked_time_formatted"), params.alias("parameters"),
         hour.alias("standardised_1hr_activity"),
         F.struct("reba_score", c("reba_level").alias("reba_risk_level"), "rula_score",
@@ -230,10 +241,10 @@ def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
                  c("task_hazard").alias("hazard_profile")).alias("task_classification"),
         F.struct(c("iso_violated").alias("iso_11226_violated"), c("iso_message").alias("iso_11226_message"),
                  ).alias("shift_assessment"))
-    return report.join(v, "video_id", "left").select("video_id", "worker_id", F.to_json(doc).alias("document"))
+    return report.join(v, "video_id", "left").select("video_id", "worker_id", _json(doc).alias("document"))
 
 
 def series_documents(rows: DataFrame, kind: str) -> DataFrame:
     """Rows of a growing series (timeline, angles, loads) as JSON lines, one per row, tagged with their kind."""
     body = [c for c in rows.columns if c not in ("video_id", "worker_id")]
-    return rows.select("video_id", "worker_id", F.lit(kind).alias("kind"), F.to_json(F.struct(*body)).alias("document"))
+    return rows.select("video_id", "worker_id", F.lit(kind).alias("kind"), _json(F.struct(*body)).alias("document"))

@@ -62,13 +62,14 @@ def p90_of_scores(scored: DataFrame, fields: list[str], top: int, key: str = "wo
     worker = Window.partitionBy("video_id", key)
     run = F.sum("_n").over(worker.orderBy("final_score").rowsBetween(Window.unboundedPreceding, 0))
     ranked = per_score.withColumns({"_upto": run, "_all": F.sum("_n").over(worker)})
-    # linear interpolation between the two neighbouring order statistics, then truncation
+    # linear interpolation between the two neighbouring order statistics, from the nearer one, then truncation
     pos = (F.col("_all") - 1) * dbl(0.9)
     low, frac = F.floor(pos), pos - F.floor(pos)
     reached = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("final_score"))).over(worker)
     ranked = ranked.withColumns({"_lo": reached(low), "_hi": reached(low + 1)}).withColumn("_frac", frac)
-    exact = F.col("_lo") + (F.coalesce("_hi", "_lo") - F.col("_lo")) * F.col("_frac")
-    p90 = F.greatest(F.lit(1), F.least(F.lit(top), F.floor(exact + dbl(1e-9)).cast("int")))
+    high, gap = F.coalesce("_hi", "_lo"), F.coalesce("_hi", "_lo") - F.col("_lo")
+    exact = F.when(F.col("_frac") >= 0.5, high - gap * (dbl(1) - F.col("_frac"))).otherwise(F.col("_lo") + gap * F.col("_frac"))
+    p90 = F.greatest(F.lit(1), F.least(F.lit(top), F.floor(exact).cast("int")))
     ranked = ranked.withColumn("_p90", p90)
     nearest = worker.orderBy(F.abs(F.col("final_score") - F.col("_p90")), "_at")
     best = ranked.withColumn("_place", F.row_number().over(nearest)).where("_place = 1")

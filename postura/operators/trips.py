@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postura.config import DEFAULTS, Thresholds
@@ -28,13 +28,16 @@ def _series(key: str) -> Series:
 def moving_avg(frames: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
     """Centroids with their five-point moving average (``sx``, ``sy``), the step before and its direction.
 
-    Missing neighbours at the ends count as zero, so the path bends towards the origin there.
+    Missing neighbours at the ends count as zero, so the path bends towards the origin there. A trajectory of fewer than five
+    points stays as it is; four rows on either side tell, so no trajectory is counted as a whole.
     """
     s = _series(key)
     seen = frames.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    rows = with_halo(with_chunk(seen.select("video_id", key, "ts", "frame_idx", "x", "y"), limits), s, back=3, ahead=2)
+    rows = with_halo(with_chunk(seen.select("video_id", key, "ts", "frame_idx", "x", "y"), limits), s, back=4, ahead=4)
     five = s.window().rowsBetween(-2, 2)
-    smooth = rows.withColumns({"sx": F.sum("x").over(five) / 5.0, "sy": F.sum("y").over(five) / 5.0})
+    short = F.count(F.lit(1)).over(s.window().rowsBetween(-4, 4)) < 5
+    smooth = rows.withColumn("_short", short).withColumns({
+        f"s{v}": F.when(F.col("_short"), F.col(v)).otherwise(F.sum(v).over(five) / 5.0) for v in ("x", "y")})
     prev = smooth.withColumns({"_px": F.lag("sx").over(s.window()), "_py": F.lag("sy").over(s.window())})
     dx, dy = F.col("sx") - F.col("_px"), F.col("sy") - F.col("_py")
     return drop_halo(prev).select("video_id", key, "ts", "frame_idx", "x", "y", "sx", "sy", "chunk",
@@ -104,9 +107,11 @@ def trips(smoothed: DataFrame, key: str = "worker_id", limits: Thresholds = DEFA
     """Trips of every trajectory that is long enough.
 
     The reversal state runs over all points of a worker. Each time slice is folded on its own from an assumed
-    incoming state; slices whose assumption differs from what the slice before really hands over are folded again.
-    The first slice is always right, so this ends; as every confirmed trip resets the state, assumptions agree after a
-    round or two. A worker with one slice needs no second round.
+    incoming state; a slice is settled when it and all before it were given what the slice before really hands over.
+    Until a trip ends, where it began and its direction stay fixed. So all slices that are not settled are folded again at
+    once, from the beginning that the nearest earlier slice with a finished trip (or the first slice) hands over, and
+    from the held direction of the slice before. The first slice that is not settled gets its true state, so this ends; a
+    stretch without a trip settles in a round or two, however many slices it has.
     """
     enough = long_enough(smoothed, key, limits).select("video_id", key)
     points = F.array_sort(F.collect_list(F.struct("ts", "frame_idx", "sx", "sy", "direction")))
@@ -120,14 +125,23 @@ def trips(smoothed: DataFrame, key: str = "worker_id", limits: Thresholds = DEFA
 
     done = fold(slices.withColumn("given", _fresh()))
     across = _series(key).across()
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        hand_over = done.select("video_id", key, "chunk", "given", _carry_of(F.col("out")).alias("_out"))
-        due = hand_over.withColumn("_due", F.coalesce(F.lag("_out").over(across), _fresh()))
-        wrong = (due.where(~F.col("_due").eqNullSafe(F.col("given")))
+        hand_over = done.select("video_id", key, "chunk", "given", _carry_of(F.col("out")).alias("_out"),
+                                (F.size("out.trips") > 0).alias("_ended"))
+        source = F.when(F.col("_ended") | (F.row_number().over(across) == 1), F.col("_out"))
+        seen = hand_over.withColumns({"_true": F.coalesce(F.lag("_out").over(across), _fresh()), "_source": source})
+        seen = seen.withColumn("_ok", F.col("_true").eqNullSafe(F.col("given")).cast("int"))
+        seen = seen.withColumns({"_from": F.last("_source", ignorenulls=True).over(earlier),
+                                 "_settled": F.coalesce(F.min("_ok").over(earlier), F.lit(1)) == 1})
+        begun = {f: F.col(f"_from.{f}") for f in ("n", "t0", "x0", "y0", "dir0")}
+        guess = _state(**begun, dir1=F.col("_true.dir1"), held=F.col("_true.held"), trips=_fresh()["trips"])
+        due = seen.withColumn("_due", F.when(F.col("_settled"), F.col("_true")).otherwise(guess))
+        wrong = (due.where((F.col("_ok") == 0) & ~F.col("_due").eqNullSafe(F.col("given")))
                  .select("video_id", key, "chunk", F.col("_due").alias("given")))
+        wrong = stage(wrong)
         if wrong.isEmpty():
             break
-        wrong = stage(wrong)
         kept = done.join(wrong.drop("given"), ["video_id", key, "chunk"], "left_anti")
         done = stage(kept.unionByName(fold(slices.join(wrong, ["video_id", key, "chunk"]))))
     return done.select("video_id", key, F.explode("out.trips").alias("_t")).select("video_id", key, "_t.*")

@@ -63,9 +63,9 @@ BLOCKS["f"] = """
     CASE WHEN e%31 <> 0 THEN 0.25e0 + (e*11)%180 END AS wrist,
     CASE WHEN e%19 <> 0 THEN 0.5e0 + (e*7)%40 END AS neck,
     100e0 + u*7.1e0 + 12e0*abs(seq%40 - 20) AS x, 200e0 + u*11.3e0 AS y
-  FROM (SELECT *, (((seq+u)//(4 + u%5))*7 + u*3) % 6 AS phase FROM (
+  FROM (SELECT *, (((seq+u)//(4 + u%5))*7 + u*3) % 6 AS phase FROM (SELECT e, u, k, (n//17)*20 + n%17 AS seq FROM (
     SELECT event_id AS e, user_id AS u, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
-      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events)) WHERE seq % 20 < 17"""
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)))"""
 
 BLOCKS["vid"] = """
   SELECT CAST(n_nationkey AS BIGINT) AS video_id,
@@ -150,7 +150,7 @@ BLOCKS["points"] = (
 BLOCKS["det"] = """
   SELECT event_id AS det_id, video_id, frame_idx, ts, [24,26,28,43,76,39,0,99][k%8 + 1] AS class_id,
     0.2e0 + (event_id%80)/100e0 AS confidence, x + (event_id%300) - 150e0 AS cx, y AS cy
-  FROM f WHERE event_id % 3 = 0"""
+  FROM f"""
 BLOCKS["names"] = "\n  SELECT * FROM (VALUES " + ", ".join(
     f"({k}, {q(v)})" for k, v in sorted(T.WORK_CLASSES.items())) + ") AS t(class_id, class_name)"
 BLOCKS["obj"] = """
@@ -159,8 +159,8 @@ BLOCKS["obj"] = """
 # ------------------------------------------------------------------ labels
 
 
-def labels(source: str, key: str) -> dict[str, str]:
-    p = f"lab_{key}"
+def labels(source: str, key: str, low: str = "false", name: str = "") -> dict[str, str]:
+    p = name or f"lab_{key}"
     return {
         p + "_0": f"""
   SELECT *, row_number() OVER w AS rn, coalesce(disp > 15, false) AS moving,
@@ -169,7 +169,7 @@ def labels(source: str, key: str) -> dict[str, str]:
   FROM {source} WINDOW w AS (PARTITION BY video_id, {key} ORDER BY ts, frame_idx)""",
         p + "_1": f"""
   SELECT *, CASE WHEN walking THEN 1
-    WHEN knee < 95 AND hip < 105 THEN 2
+    WHEN knee < 95 AND ({low} OR hip < 105) THEN 2
     WHEN trunk > 30 AND (knee IS NULL OR knee >= 130) THEN 3
     WHEN hip < 120 AND knee BETWEEN 70 AND 135 THEN 4
     WHEN hip < 120 AND trunk < 30 THEN 5
@@ -196,6 +196,7 @@ def labels(source: str, key: str) -> dict[str, str]:
 
 BLOCKS.update(labels("f", "worker_id"))
 BLOCKS.update(labels("f", "raw_id"))
+BLOCKS.update(labels("f", "worker_id", "event_id % 5 = 0", "low"))
 
 # ------------------------------------------------------------------ re-linking
 
@@ -347,8 +348,12 @@ def p90(source: str, top: int, fields: list[str]) -> str:
     cols = ", ".join(f"first({c} ORDER BY abs(final_score-p), ts, frame_idx) AS {c}" for c in fields)
     return f"""
   SELECT video_id, worker_id, any_value(p) AS p90_score{', ' + cols if cols else ''} FROM (
-    SELECT s.*, greatest(1, least({top}, CAST(floor(quantile_cont(final_score, 0.9e0)
-      OVER (PARTITION BY video_id, worker_id) + 1e-9) AS INTEGER))) AS p FROM {source} s)
+    SELECT s.*, greatest(1, least({top}, CAST(floor(CASE WHEN t >= 0.5e0 THEN hi - (hi-lo)*(1e0-t) ELSE lo + (hi-lo)*t END)
+      AS INTEGER))) AS p FROM {source} s JOIN (
+      SELECT video_id, worker_id, (n-1)*0.9e0 - floor((n-1)*0.9e0) AS t, CAST(a[CAST(floor((n-1)*0.9e0) AS BIGINT)+1] AS DOUBLE) AS lo,
+        CAST(a[least(n, CAST(floor((n-1)*0.9e0) AS BIGINT)+2)] AS DOUBLE) AS hi
+      FROM (SELECT video_id, worker_id, count(*) AS n, list(final_score ORDER BY final_score) AS a FROM {source} GROUP BY 1, 2))
+      USING (video_id, worker_id))
   GROUP BY 1, 2"""
 
 
@@ -399,13 +404,14 @@ _5 = " + ".join
 BLOCKS["sm0"] = f"""
   SELECT video_id, worker_id, ts, frame_idx, x, y, row_number() OVER w - 1 AS p, count(*) OVER c AS n,
     (coalesce(lag(x,2) OVER w,0) + coalesce(lag(x,1) OVER w,0) + x + coalesce(lead(x,1) OVER w,0)
-      + coalesce(lead(x,2) OVER w,0))/5 AS sx,
+      + coalesce(lead(x,2) OVER w,0))/5 AS mx,
     (coalesce(lag(y,2) OVER w,0) + coalesce(lag(y,1) OVER w,0) + y + coalesce(lead(y,1) OVER w,0)
-      + coalesce(lead(y,2) OVER w,0))/5 AS sy
+      + coalesce(lead(y,2) OVER w,0))/5 AS my
   FROM wf WINDOW w AS {_W}, c AS (PARTITION BY video_id, worker_id)"""
 BLOCKS["sm"] = f"""
   SELECT *, sqrt((sx-px)*(sx-px) + (sy-py)*(sy-py)) AS step, degrees(atan2(sy-py, sx-px)) AS dir FROM (
-    SELECT *, lag(sx) OVER {_W} AS px, lag(sy) OVER {_W} AS py FROM sm0)"""
+    SELECT *, lag(sx) OVER {_W} AS px, lag(sy) OVER {_W} AS py FROM (
+      SELECT *, CASE WHEN n < 5 THEN x ELSE mx END AS sx, CASE WHEN n < 5 THEN y ELSE my END AS sy FROM sm0))"""
 BLOCKS["path"] = f"""
   SELECT video_id, worker_id, count(*) AS n_points, {r('coalesce(sum(step ORDER BY p), 0)', 1)} AS path_px FROM sm
   GROUP BY 1, 2 HAVING count(*) >= 10"""

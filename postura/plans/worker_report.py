@@ -94,5 +94,6 @@ def report_series(run: Analysis) -> dict[str, DataFrame]:
         "angle_time_series": A.angle_series(run.frames),
         "arm_angle_time_series": A.arm_series(run.frames),
         "load_instances": J.loads(run.near).select("video_id", "worker_id", F.col("ts").alias("timestamp"),
-                                                   F.col("class_name").alias("object_class")),
+                                                   F.col("class_name").alias("object_class"),
+                                                   F.lit(None).cast("double").alias("weight_kg")),  # never estimated
     }

@@ -17,12 +17,12 @@ def _pick(i: Column, *values: float) -> Column:
 
 
 def _shape(numbered: DataFrame, eid: Column, user: Column) -> DataFrame:
-    """Frame columns from (seq, an event number, a person number)."""
+    """Frame columns from (seq, an event number, a person number); a pause of three steps after every 17 rows."""
     seq = F.col("seq")
-    df = numbered.select("*", eid.alias("_e"), user.alias("_u"))
+    df = numbered.select("*", eid.alias("_e"), user.alias("_u")).withColumn("seq", F.expr("(seq div 17) * 20 + seq % 17"))
     e, u = F.col("_e"), F.col("_u")
     df = df.withColumn("_blk", F.expr("(seq + _u) div (4 + _u % 5)"))
-    df = df.withColumn("_phase", (F.col("_blk") * 7 + u * 3) % 6).where(seq % 20 < 17)
+    df = df.withColumn("_phase", (F.col("_blk") * 7 + u * 3) % 6)
     phase = F.col("_phase")
     return df.select(
         F.col("_e").alias("event_id"), "k", "seq", (u % 25).alias("video_id"), u.alias("worker_id"),
@@ -81,9 +81,9 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Object detections from every third event; object centre relative to the person of the same frame."""
+    """One object detection per event; object centre relative to the person of the same frame."""
     classes = F.array(*[F.lit(c) for c in (24, 26, 28, 43, 76, 39, 0, 99)])
-    f = frames(spark, sf_dir).where(F.col("event_id") % 3 == 0)
+    f = frames(spark, sf_dir)
     cx = F.col("x") + (F.col("event_id") % 300) - dbl(150)
     return f.select(
         F.col("event_id").alias("det_id"), "video_id", "frame_idx", "ts",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from postura import tables as T
 from postura.config import DEFAULTS, Thresholds
-from postura.functions.geometry import JOINTS
 from postura.functions.numeric import dbl, rnd
 from postura.operators.association import class_name
 
@@ -17,11 +16,15 @@ def pose_rows(obs: DataFrame) -> DataFrame:
     return obs.where(F.col("raw_id").isNotNull())
 
 
+#: All 17 joints by position. Fixed values.
+JOINT_NAMES = ("nose", "l_eye", "r_eye", "l_ear", "r_ear", "l_sh", "r_sh", "l_el", "r_el", "l_wr", "r_wr", "l_hip", "r_hip",
+               "l_kn", "r_kn", "l_an", "r_an")
+
+
 def joints_long(obs: DataFrame, keep: list[str]) -> DataFrame:
     """One row per named joint."""
-    pairs = [v for name, i in JOINTS.items() for v in (F.lit(i), F.lit(name))]
     long = obs.select(*keep, F.posexplode(F.arrays_zip("keypoints", "conf")).alias("joint_no", "_j"))
-    name = F.element_at(F.create_map(*pairs), F.col("joint_no"))
+    name = F.get(F.array(*[F.lit(n) for n in JOINT_NAMES]), F.col("joint_no"))
     return long.select(*keep, "joint_no", name.alias("joint"), F.col("_j.keypoints.x").alias("x"),
                        F.col("_j.keypoints.y").alias("y"), F.col("_j.conf").alias("conf")).where("joint is not null")
 

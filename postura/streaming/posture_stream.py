@@ -39,9 +39,11 @@ class _Vote(StatefulProcessor):
         if self.state.exists():
             kept, run, ax, ay = self.state.get()
             seen, last = list(kept), None if ax is None else (ax, ay)
-        for pdf in rows:
+        # a track's rows of one micro-batch come as several Arrow batches in any order: ordered as a whole, never per batch
+        whole = pd.concat(list(rows)).sort_values(["ts", "frame_idx"], kind="stable")
+        for at in range(0, len(whole), 10_000):
             out = []
-            for r in pdf.sort_values(["ts", "frame_idx"]).itertuples(index=False):
+            for r in whole.iloc[at:at + 10_000].itertuples(index=False):
                 moved = r.disp
                 if not r.given:
                     here = None if math.isnan(r.ax) else (r.ax, r.ay)
@@ -63,7 +65,10 @@ class _Vote(StatefulProcessor):
 
 
 def stream_posture(frames: DataFrame, limits: Thresholds = DEFAULTS, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming frames of each track in arrival order → raw and smoothed labels, equal to the batch result.
+    """Streaming frames of each track → raw and smoothed labels, equal to the batch result.
+
+    Rows of one micro-batch may come in any order and any number of files; a frame that is older than what an earlier
+    micro-batch held is labelled when it comes. The trigger of the source bounds a micro-batch.
 
     With ``ttl_ms``, a track that was silent for so long starts anew.
 
