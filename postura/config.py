@@ -48,8 +48,8 @@ class Thresholds:
     # Width of the time slices a long series is split into (see operators/ordered.py).
     # Only the amount of work per task depends on it, never a result.
     chunk_s: float = 1800.0
-    # Longest joint series that one task analyses whole; longer ones are cut (see operators/long_series.py).
-    series_rows: int = 1 << 18
+    # Positions of one block of a joint series (see operators/long_series.py); never a result.
+    series_rows: int = 8192
 
 
 DEFAULTS = Thresholds()

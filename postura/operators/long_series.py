@@ -1,6 +1,6 @@
-"""Peaks and spectrum of series that are too long for one task.
+"""Peaks and spectrum of series of any length, by one path.
 
-The results equal the one-task versions in ``signals``. Work is cut into blocks of positions; what must be known across
+No task holds a whole series. Work is cut into blocks of positions; what must be known across
 blocks travels as one minimum and maximum per block, or, for the spectrum, as the columns and rows of a two-step transform.
 """
 
@@ -128,8 +128,8 @@ def _crossing(open_peaks: DataFrame, rows: DataFrame, keys: KEYS, prominence: fl
     return open_peaks.join(answer.select(*keys, "pos"), [*keys, "pos"], "left_semi")
 
 
-def long_peaks(flat: DataFrame, keys: KEYS, distance: int, prominence: float, width: int) -> DataFrame:
-    """Prominent peaks (keys, n, pos) of long series."""
+def prominent_peaks(flat: DataFrame, keys: KEYS, distance: int, prominence: float, width: int) -> DataFrame:
+    """Prominent peaks (keys, n, pos); ``width`` sets the positions of a block, never the result."""
     rows = stage(flat.select(*keys, "n", "pos", "value", F.lit(width).cast("long").alias("_width"),
                              F.floor(F.col("pos") / width).alias("chunk")))
     tops = _tops(rows, keys)
@@ -200,8 +200,8 @@ def _fft(df: DataFrame, keys: KEYS) -> DataFrame:
     return outer.select(*k, (F.col("q") + F.col("size_c") * F.col("_k")).alias("j"), "z")
 
 
-def long_spectrum(flat: DataFrame, keys: KEYS, fps: float, low: float, high: float) -> DataFrame:
-    """(hz, peak, mean) of the strongest in-band bin of the Hann-windowed series, for long series of any length.
+def band_spectrum(flat: DataFrame, keys: KEYS, fps: float, low: float, high: float) -> DataFrame:
+    """(hz, peak, mean) of the strongest in-band bin of the Hann-windowed series; fewer than 16 values have none.
 
     The transform of a length n is a convolution with a chirp, done with transforms of a power of two at least 2n.
     """
@@ -229,7 +229,8 @@ def long_spectrum(flat: DataFrame, keys: KEYS, fps: float, low: float, high: flo
     back = _fft(product, k).where(F.col("j") <= F.expr("n div 2"))
     amp = F.sqrt(z[0] * z[0] + z[1] * z[1]) / (F.col("size_r") * F.col("size_c"))
     hz = F.col("j") * (dbl(1) / (n * dbl(1.0 / fps)))
-    inside = back.select(*keys, "j", hz.alias("hz"), amp.alias("amp")).where(F.col("hz").between(low, high))
+    inside = back.where(F.col("n") >= 16).select(*keys, "j", hz.alias("hz"), amp.alias("amp")).where(
+        F.col("hz").between(low, high))
     best = inside.groupBy(*keys).agg(F.max_by("hz", F.struct("amp", -F.col("j"))).alias("hz"),
                                      F.max("amp").alias("peak"), F.avg("amp").alias("mean"))
     return flat.select(*keys).distinct().join(best, keys, "left")

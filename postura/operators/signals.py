@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postura.config import DEFAULTS, Thresholds
 from postura.functions.numeric import dbl, rnd
 from postura.operators.frames import with_chunk
-from postura.operators.long_series import long_peaks, long_spectrum
+from postura.operators.long_series import band_spectrum, prominent_peaks
 from postura.operators.ordered import Series, scan, stage, stage_together
 
-# Python workers get these functions by value, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # ---- fixed values: joints in order of preference ----
 JOINT_ORDER = ["elbow", "wrist", "shoulder", "trunk"]
 
@@ -66,100 +58,13 @@ def detrend(filled: DataFrame, key: str = "worker_id") -> DataFrame:
     return filled.join(line, _keys(key)).withColumn("value", rnd(flat, 9)).drop("_m", "_v", "_p")
 
 
-# ------------------------------------------------------------------ numpy helpers, one series at a time
-
-
-def _local_maxima(x: np.ndarray) -> np.ndarray:
-    """Middles of all runs of equal values that are higher than both neighbouring runs (edge runs excluded)."""
-    if len(x) < 3:
-        return np.empty(0, dtype=np.int64)
-    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    stop = np.r_[start[1:], len(x)] - 1
-    level = x[start]
-    inner = np.zeros(len(start), dtype=bool)
-    inner[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
-    return (start[inner] + stop[inner]) // 2
-
-
-def _apart(peaks: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
-    """Highest peaks first, each removing lower ones closer than ``distance``."""
-    keep = np.ones(len(peaks), dtype=bool)
-    if distance <= 1:
-        return peaks
-    for j in np.argsort(height, kind="stable")[::-1]:
-        if keep[j]:
-            near = np.abs(peaks - peaks[j]) < distance
-            near[j] = False
-            keep[near] = False
-    return peaks[keep]
-
-
-def _base_levels(x: np.ndarray) -> np.ndarray:
-    """For each position the lowest value back to (not including) the nearest higher value, in linear time."""
-    low = x.copy()
-    stack: list[int] = []
-    for i, v in enumerate(x):
-        while stack and x[stack[-1]] <= v:
-            low[i] = min(low[i], low[stack.pop()])
-        stack.append(i)
-    return low
-
-
-def find_peaks(x: np.ndarray, distance: int, prominence: float) -> np.ndarray:
-    peaks = _local_maxima(x)
-    peaks = _apart(peaks, x[peaks], distance)
-    if not len(peaks):
-        return peaks
-    base = np.maximum(_base_levels(x), _base_levels(x[::-1])[::-1])
-    return peaks[x[peaks] - base[peaks] >= prominence]
-
-
-def spectrum(x: np.ndarray, fps: float, low: float, high: float) -> tuple[float, float, float] | None:
-    """(frequency, amplitude, mean amplitude) of the strongest in-band bin of the Hann-windowed series."""
-    n = len(x)
-    if n < 16:
-        return None
-    amplitude = np.abs(np.fft.rfft(x * np.hanning(n)))
-    hz = np.fft.rfftfreq(n, d=1.0 / fps)
-    band = (hz >= low) & (hz <= high)
-    if not band.any():
-        return None
-    inside = amplitude[band]
-    k = int(np.argmax(inside))
-    return float(hz[band][k]), float(inside[k]), float(inside.mean())
-
-
 # ------------------------------------------------------------------ operators
 
 
-def _arrays(detrended: DataFrame, key: str) -> DataFrame:
-    """One row per series of bounded length, values in order. Rows of many series then reach Python in one batch."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    return detrended.groupBy(*_keys(key)).agg(F.first("n").alias("n"), ordered.alias("_s")).select(
-        *_keys(key), "n", F.transform("_s", lambda p: p["value"]).alias("values"))
-
-
-def _by_length(detrended: DataFrame, limits: Thresholds) -> tuple[DataFrame, DataFrame | None]:
-    """Series that one task can hold whole, and the longer ones, if any."""
-    fits = F.col("n") <= limits.series_rows
-    long = detrended.where(~fits)
-    return (detrended, None) if long.isEmpty() else (detrended.where(fits), long)
-
-
 def peaks(detrended: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
-    """Positions of prominent peaks per series."""
+    """Positions of prominent peaks per series, judged block by block of ``series_rows`` positions."""
     distance = max(1, int(limits.sample_fps / limits.freq_max_hz)) if limits.freq_max_hz > 0 else 1
-    least = limits.prominence_deg
-
-    @F.pandas_udf("array<long>")
-    def positions(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: find_peaks(np.asarray(v), distance, least))
-
-    short, long = _by_length(detrended, limits)
-    found = _arrays(short, key).select(*_keys(key), "n", F.explode(positions("values")).alias("pos"))
-    if long is not None:
-        found = found.unionByName(long_peaks(long, _keys(key), distance, least, limits.series_rows))
-    return found
+    return prominent_peaks(detrended, _keys(key), distance, limits.prominence_deg, limits.series_rows)
 
 
 def _repeat_columns(freq: Column, conf: Column, rounded: Column, limit: float) -> dict[str, Column]:
@@ -189,18 +94,7 @@ def peak_rate(found: DataFrame, series: DataFrame, key: str = "worker_id", limit
 
 
 def spectrum_rate(detrended: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
-    fps, low, high = limits.sample_fps, limits.freq_min_hz, limits.freq_max_hz
-
-    @F.pandas_udf("hz double, peak double, mean double")
-    def strongest(values: pd.Series) -> pd.DataFrame:
-        none = (None, None, None)
-        return pd.DataFrame([spectrum(np.asarray(v), fps, low, high) or none for v in values],
-                            columns=["hz", "peak", "mean"], dtype="float64")
-
-    short, long = _by_length(detrended, limits)
-    raw = _arrays(short, key).select(*_keys(key), strongest("values").alias("_r")).select(*_keys(key), "_r.*")
-    if long is not None:
-        raw = raw.unionByName(long_spectrum(long, _keys(key), fps, low, high))
+    raw = band_spectrum(detrended, _keys(key), limits.sample_fps, limits.freq_min_hz, limits.freq_max_hz)
     ratio = (F.col("peak") / (F.col("mean") + dbl(1e-8)) - 1.0) / 5.0
     conf = F.when(F.col("hz").isNull(), dbl(0)).otherwise(F.greatest(dbl(0), F.least(dbl(1), ratio)))
     cols = _repeat_columns(F.col("hz"), conf, F.col("hz").isNotNull(), 0.3)

@@ -13,6 +13,7 @@ from postura.operators import frames as Fr
 from postura.operators import signals as SG
 from postura.operators import tracklets as K
 from postura.operators import trips as TR
+from postura.operators.long_series import band_spectrum, prominent_peaks
 from postura.operators.ordered import Series, scan
 from postura.operators.ordered import stage
 from tests import plain
@@ -200,16 +201,41 @@ def test_scan_positions_and_neighbours(spark):
                                                              later[0] if later else None)
 
 
-@pytest.mark.parametrize("distance", [1, 3])
-def test_find_peaks_equals_plain_loop(distance):
-    import numpy as np
-
+@pytest.mark.parametrize(("distance", "width"), [(1, 8), (3, 8), (3, 8192)])
+def test_find_peaks_equals_plain_loop(spark, distance, width):
     rnd = random.Random(9)
-    for _ in range(60):
+    series = {}
+    for w in range(30):
         x = [rnd.choice([0.0, 2.0, 4.0, 6.0, 9.0, 12.0]) for _ in range(rnd.choice([2, 5, 40]))]
-        if distance > 1:
-            x = [v + i * 1e-6 for i, v in enumerate(x)]
-        assert list(SG.find_peaks(np.array(x), distance, 5.0)) == plain.peaks(x, distance, 5.0)
+        series[w] = [v + i * 1e-6 for i, v in enumerate(x)] if distance > 1 else x
+    rows = [(w, i, len(x), v) for w, x in series.items() for i, v in enumerate(x)]
+    df = stage(spark.createDataFrame(rows, "worker_id long, pos long, n long, value double"))
+    got = sorted((r.worker_id, r.pos) for r in prominent_peaks(df, ["worker_id"], distance, 5.0, width).collect())
+    assert got == sorted((w, p) for w, x in series.items() for p in plain.peaks(x, distance, 5.0)) and got
+
+
+def numpy_spectrum(x, fps, low, high):
+    """(hz, amplitude, mean amplitude) of the strongest in-band bin of the windowed series."""
+    import numpy as np
+
+    amplitude, hz = np.abs(np.fft.rfft(np.array(x) * np.hanning(len(x)))), np.fft.rfftfreq(len(x), 1 / fps)
+    inside = (hz >= low) & (hz <= high)
+    if len(x) < 16 or not inside.any():
+        return None, None, None
+    k = int(np.argmax(amplitude[inside]))
+    return float(hz[inside][k]), float(amplitude[inside][k]), float(amplitude[inside].mean())
+
+
+def test_spectrum_equals_numpy(spark):
+    rows = joint_rows(5) + [(1, 7, "trunk", i, 12, float(i % 3)) for i in range(12)]
+    df = stage(spark.createDataFrame(rows, "video_id long, worker_id long, joint string, pos long, n long, value double"))
+    got = {r.worker_id: r for r in band_spectrum(df, ["video_id", "worker_id", "joint"], 5.0, 0.1, 2.0).collect()}
+    for w in (1, 2, 3, 7):
+        want = numpy_spectrum([r[5] for r in rows if r[1] == w], 5.0, 0.1, 2.0)
+        if want[0] is None:
+            assert got[w].hz is None
+        else:
+            assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip((got[w].hz, got[w].peak, got[w].mean), want))
 
 
 @pytest.mark.parametrize("width", [1e6, 2.0])
@@ -246,7 +272,7 @@ def joint_rows(seed):
 
 
 @pytest.mark.parametrize("rows_per_task,fps", [(8, 5.0), (30, 5.0), (8, 14.0)])
-def test_long_series_equal_short_ones(spark, rows_per_task, fps):
+def test_blocks_never_change_a_series(spark, rows_per_task, fps):
     df = stage(spark.createDataFrame(joint_rows(21), "video_id long, worker_id long, joint string, pos long, n long, value double"))
     whole, cut = Thresholds(sample_fps=fps), Thresholds(sample_fps=fps, series_rows=rows_per_task)
     key = lambda limits: sorted((r.worker_id, r.pos) for r in SG.peaks(df, limits=limits).collect())
