@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postura.llm.common import by_value, column, small_batches
+from postura.llm.common import by_value, column, drawn, small_batches
 from postura.llm.components import components
 from postura.operators.ordered import stage
 
@@ -147,8 +147,8 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
     classes = stage(known.groupBy("label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
                     .withColumn("cls", F.monotonically_increasing_id()))
     n, labels = classes.agg(F.count(F.lit(1)), F.approx_count_distinct("label")).first()
-    drawn = classes.orderBy(F.xxhash64("v"), "cls").limit(SAMPLE).select("v").collect()
-    counted = _links(classes, drawn, max(2, min(256, round(math.sqrt(n / max(1, labels) / CELL)))), threshold, recall) if n > 1 else None
+    sample = sorted(r.v for r in drawn(classes.select("v"), F.col("v"), SAMPLE, n).collect())
+    counted = _links(classes, sample, max(2, min(256, round(math.sqrt(n / max(1, labels) / CELL)))), threshold, recall) if n > 1 else None
 
     if counted is None:
         found = classes.select("cls", "n", "label", "v", F.lit(0).cast("long").alias("links"), F.col("least").alias("component"))
@@ -167,18 +167,19 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
                                             F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def _links(classes: DataFrame, drawn: list, k: int, threshold: float, recall: float) -> DataFrame:
+def _links(classes: DataFrame, some: list[list[float]], k: int, threshold: float, recall: float) -> DataFrame:
     """Staged: cls, links, root; several rows per class."""
-    dim = max({len(r.v) for r in drawn}, key=[len(r.v) for r in drawn].count)
-    sample = unit(np.array([r.v for r in drawn if len(r.v) == dim], dtype=np.float64))
+    sizes = [len(v) for v in some]
+    dim = max(set(sizes), key=sizes.count)
+    sample = unit(np.array([v for v in some if len(v) == dim], dtype=np.float64))
     grid = Grid(sample, min(k, len(sample)), threshold, recall)
 
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
             out: list = [None] * len(vectors)
-            sizes = np.array([len(x) for x in vectors])
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
+            lengths = np.array([len(x) for x in vectors])
+            for size in np.unique(lengths):
+                at = np.flatnonzero(lengths == size)
                 some = unit(np.array([vectors.iloc[i] for i in at], dtype=np.float64))
                 for i, cells in zip(at, grid.cells(some, grid.visits)):
                     out[i] = cells

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postura.llm.common import ROW, as_row, by_value, column, small_batches, text_of
+from postura.llm.common import ROW, as_row, by_value, column, drawn, small_batches, text_of
 from postura.operators.ordered import stage
 
 TRAIN_ROWS = 20_000
@@ -119,10 +119,11 @@ class Fitted:
 def train(scored: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows: int) -> Model:
     known = (labels.select(column(id_col).cast("long").alias("_id"), column(label_col).cast("double").alias("_y"))
              .where("_id is not null and _y is not null").groupBy("_id").agg(F.avg("_y").alias("_y")))
-    # the bound holds before anything reaches the driver
-    drawn = (scored.select("_id", "_x").join(known, "_id").orderBy(F.xxhash64("_id"), "_x").limit(rows).collect())
-    x = np.array([r._x for r in drawn]).reshape(len(drawn), len(FEATURES))
-    return fit(x, np.array([float(r._y >= 0.5) for r in drawn]))
+    found = stage(scored.select("_id", "_x").join(known, "_id"))
+    some = drawn(found, F.col("_id"), rows, found.count()).collect()
+    some.sort(key=lambda r: (r._id, r._x))
+    x = np.array([r._x for r in some]).reshape(len(some), len(FEATURES))
+    return fit(x, np.array([float(r._y >= 0.5) for r in some]))
 
 
 def strength(groups: DataFrame, n: str, s: str, centre: Column) -> float:

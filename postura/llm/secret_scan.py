@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postura.llm.common import column, text_of
+from postura.llm.common import column, drawn, text_of
 from postura.llm.pii import matches
 from postura.operators.ordered import stage
 
@@ -101,11 +101,12 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 def train(findings: DataFrame, rows: int = TRAIN_ROWS):
     """A forest from labelled findings, or None without both labels."""
-    order = [F.xxhash64(*FEATURES), *FEATURES]
-    drawn = [findings.where(F.col("label") == label).select("label", *FEATURES).orderBy(*order).limit(rows) for label in (0.0, 1.0)]
-    sample = stage(reduce(DataFrame.unionByName, drawn))
-    if sample.select("label").distinct().count() < 2:
+    counts = {r.label: r.n for r in findings.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if set(counts) != {0.0, 1.0}:
         return None
+    key = F.struct(*FEATURES)
+    sample = stage(reduce(DataFrame.unionByName, [
+        drawn(findings.where(F.col("label") == label).select("label", *FEATURES), key, rows, n) for label, n in counts.items()]))
     forest = RandomForestClassifier(numTrees=20, maxDepth=6, seed=7, featuresCol="_x", labelCol="label",
                                     rawPredictionCol="_raw", probabilityCol="_probability", predictionCol="_label")
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(sample))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postura.llm.common import ROW, as_row, by_value, column, small_batches, text_of
+from postura.llm.common import ROW, as_row, by_value, column, drawn, small_batches, text_of
 from postura.llm.components import components
 from postura.operators.ordered import stage
 
@@ -162,8 +162,8 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     Every pair within the radius is connected by edges, each of which is within the radius.
     """
     rows = distinct.count()
-    drawn = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    chosen = allocate(np.array([r.fp for r in drawn], dtype=np.int64), rows, radius)
+    sample = np.array(sorted(r.fp for r in drawn(distinct, F.col("fp"), SAMPLE, rows).collect()), dtype=np.int64)
+    chosen = allocate(sample, rows, radius)
     masks = [_signed(sum(1 << b for b in part)) for part, _ in chosen]
 
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("p", "key")
