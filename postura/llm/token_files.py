@@ -24,7 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,48 +196,42 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
             yield done()
 
     encoded = rows.mapInArrow(encode, "part long, id long, ids binary")
-    dealt = encoded.repartition(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
+    dealt = encoded.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
     return stage(dealt.mapInArrow(save, MANIFEST))
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """All documents of the files: part, place, doc_id, start (ids before it in its file), ids (binary)."""
-    small_batches(manifest.sparkSession)
-    return _read(manifest, lambda batches: _documents(batches, lambda ids: ids.tobytes(), pa.binary()),
-                 "part long, place long, doc_id long, start long, n_tokens long, value binary")
-
+    """All documents of the files: part, doc_id, start (ids before it in all files), n_tokens, ids (as stored)."""
+    return _read(manifest, lambda ids: ids.tobytes(), pa.binary(), "ids binary")
 
-def _read(manifest: DataFrame, run, schema: str) -> DataFrame:
-    # one task per file, as far as the session's partitions go
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("part", "path").repartition(n, "part").mapInArrow(run, schema)
 
+def digest(manifest: DataFrame) -> DataFrame:
+    """Per document, from the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
+    crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
+    return _read(manifest, crc, pa.int64(), "ids_crc32 long").drop("part")
 
-def _documents(batches: Iterable[pa.RecordBatch], value, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, path in zip(*[c.to_pylist() for c in batch.columns]):
-            reader = Reader(path)
-            for at in range(0, len(reader.index), 1024):
-                some = reader.index[at:at + 1024]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([part] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()),
-                    pa.array(some["doc"], pa.int64(), mask=some["known"] == 0),
-                    pa.array(some["start"].astype(np.int64)), pa.array(some["n"].astype(np.int64)),
-                    pa.array([value(reader.document(i)) for i in range(at, at + n)], kind),
-                ], ["part", "place", "doc_id", "start", "n_tokens", "value"])
 
+def _read(manifest: DataFrame, value, kind: pa.DataType, field: str) -> DataFrame:
+    small_batches(manifest.sparkSession)
+    name = field.split()[0]
 
-def digest(manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start over all files, n_tokens, ids_crc32."""
-    crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
-    docs = _read(manifest, lambda batches: _documents(batches, crc, pa.int64()),
-                 "part long, place long, doc_id long, start long, n_tokens long, value long")
-    # one row per file, in order
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, path, base in zip(*[c.to_pylist() for c in batch.columns]):
+                reader = Reader(path)
+                for at in range(0, len(reader.index), 1024):
+                    some = reader.index[at:at + 1024]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([part] * len(some), pa.int64()), pa.array(some["doc"], pa.int64(), mask=some["known"] == 0),
+                        pa.array(some["start"].astype(np.int64) + base), pa.array(some["n"].astype(np.int64)),
+                        pa.array([value(reader.document(i)) for i in range(at, at + len(some))], kind),
+                    ], ["part", "doc_id", "start", "n_tokens", name])
+
+    # one row per file, in order; then one task per file, as far as the session's partitions go
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return docs.join(base, "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens",
-                                          F.col("value").alias("ids_crc32"))
+    files = manifest.select("part", "path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(n, "part").mapInArrow(run, f"part long, doc_id long, start long, n_tokens long, {field}")
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
