@@ -3,8 +3,9 @@
 Both supported tokenizer kinds cut a text at a single space between two non-space characters before they merge
 anything, so a text without other spacing at that place is the concatenation of its space-separated parts. Every part
 is handed to the ``tokenizers`` library once and remembered; texts with runs of spaces, or spaces at an end, go to the
-library whole. A part of plain Latin letters with at most one comma or stop is what the tokenizer's own splitting
-leaves alone, so it goes straight to the library's merge model. Special-token strings inside a text are ordinary text.
+library whole; where white space is dropped anyway, every ASCII one separates. A part of plain Latin letters with ASCII
+marks behind them is split by the tokenizer between the two only, and at a line end between two such, so these go straight to
+the library's merge model. Special-token strings inside a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -19,13 +20,23 @@ from collections.abc import Iterable
 from postura.llm.common import by_value
 
 #: Parts remembered per worker and generation; two generations are held, so memory is bounded by twice this.
-MEMO_PARTS = 500_000
+MEMO_PARTS = 300_000
 #: Longer parts are not remembered.
 MEMO_CHARS = 48
 #: Letters that are composed, and in lower case one letter again, in every version of the character tables.
-_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([,.]?)")
-#: A space beside other white space or at an end of the text.
-_SPACED = re.compile(r" \s|\s |^ | $")
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+#: White space other than the space and the line end, as the standard library sees it.
+_RARE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+
+_ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+
+
+def _separate(text: str) -> bool:
+    """No space touches another white space or an end of the text."""
+    if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in _RARE)
 
 
 def worker_state(name: str, make):
@@ -52,12 +63,20 @@ class Encoder:
         self.lower, self.letters = lower, _byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # without marks, in the tokenizer's case
 
-    def _word(self, word: str, lead: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         """Ids of one unit of the tokenizer's own splitting."""
-        word = lead + (word.lower() if self.lower else word)
-        letters = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
+        if self.lower:
+            word = word.lower()
+        ids = self.words.get(word)
+        if ids is None:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
+            if len(self.words) >= MEMO_PARTS:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
@@ -69,7 +88,9 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif _SPACED.search(text):
+            elif self.lower:
+                out.append(b"".join(self._parts(_ASCII_SPACE.sub(" ", text).split(" "))))
+            elif not _separate(text):
                 out.extend(self._library([text]))
             else:
                 head, *parts = text.split(" ")
@@ -78,26 +99,30 @@ class Encoder:
 
     def _part(self, part: str, lead: str) -> bytes:
         m = _WORD.fullmatch(part)
-        if m is None:
-            return self._library([lead + part])[0]
-        word, mark = m.groups()
-        return self._word(word, lead) + (self._word(mark, "") if mark else b"")
+        if m:
+            word, marks = m.groups()
+            ids = self._word(lead + word)
+            return ids + self._word(marks) if marks else ids
+        if "\n" in part and not self.lower:
+            lines = part.split("\n")
+            if all(map(_WORD.fullmatch, lines)):
+                return self._word("\n").join([self._part(lines[0], lead), *[self._part(x, "") for x in lines[1:]]])
+        return self._library([lead + part])[0]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         got = [*map(self.new.get, parts)]
-        if None in got:
-            new, old, lead = self.new, self.old, self.lead
-            for i, ids in enumerate(got):
-                if ids is None:
-                    part = parts[i]
-                    ids = new.get(part) or old.get(part)
-                    if ids is None:
-                        ids = self._part(part, lead)
-                    if len(part) <= MEMO_CHARS:
-                        new[part] = ids
-                    got[i] = ids
-            if len(new) > MEMO_PARTS:
-                self.old, self.new = new, {}
+        new, old, lead, i = self.new, self.old, self.lead, -1
+        for _ in range(got.count(None)):
+            i = got.index(None, i + 1)
+            part = parts[i]
+            ids = new.get(part) or old.get(part)
+            if ids is None:
+                ids = self._part(part, lead)
+            if len(part) <= MEMO_CHARS:
+                new[part] = ids
+            got[i] = ids
+        if len(new) > MEMO_PARTS:
+            self.old, self.new = new, {}
         return got
 
 

@@ -13,13 +13,14 @@ from postura.llm.tokens import Encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "a  b", " a", "a ", "a\n b", "a \nb", "x y z", "<|endoftext|> a", "hé llo's don't", "a\tb c", "日本 語 😀 x",
-       "e ́f", "A B", "ſ K İ x", "word, word. Word", "it's, they're", "\n", "Straße café,, x1 2y", None]
+       "e ́f", "A B", "ſ K İ x", "word, word. Word", "it's, they're", "\n", "Straße café,, x1 2y", "a\x1c b", "a\u2028b c", "\x85 a",
+       "shed&&& end.\nHahaed dogs' a'\nb", "x\r\ny \t z", "tail\n", "\nhead", "a\n\nb c\n d", None]
 
 
 @pytest.mark.parametrize(("path", "lead", "lower"), [(BYTE, " ", False), (WORD, "", True)])
 def test_memo_equals_library(path, lead, lower):
     rng = random.Random(1)
-    texts = ODD + [" ".join("".join(rng.choice("aeioubcdéß,.'1\n") for _ in range(rng.randint(1, 9))) for _ in range(40))
+    texts = ODD + [" ".join("".join(rng.choice("aeioubcdéß,.'1\n&!|_") for _ in range(rng.randint(1, 9))) for _ in range(40))
                    for _ in range(200)]
     e = Encoder(path, lead, lower)
     want = [x.ids for x in e.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
