@@ -1,11 +1,13 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest. SQL functions and Spark ML only.
 
-A candidate is a run of at least ``MIN_CHARS`` signs that occur in keys and tokens. Its features: length, changes between
+A candidate is a run of at least ``MIN_CHARS`` signs that occur in keys and tokens, or a run of any length that is assigned to a
+secret's name; a sign '=' belongs to it only as padding at its end. Its features: length, changes between
 character classes, different signs, shares of digits, capitals and vowels, the share that dictionary words cover, whether it is
 hexadecimal, its path, and the words, assignment sign and quotes around it. The dictionary is the corpus' own: its ``DICTIONARY``
 most frequent words, counted over all documents. The forest is trained on labelled findings (columns of ``FEATURES`` and
 ``label``); ``rule_labels`` gives such a table where no audited one exists: what is assigned to a secret's name and mixes
-letters with digits is a secret; what has no such name and only letters, or only digits, is none; all else stays unlabelled.
+letters with digits is a secret; what has no such name and only letters, or only digits, is none, nor is an unquoted run of
+dictionary words behind a name ("secret: nobody"); all else stays unlabelled.
 At most ``TRAIN_ROWS`` of each label are used, drawn by a hash.
 
 Candidates and features are written once and are small against the texts; words are counted before their shuffle.
@@ -30,9 +32,14 @@ from postura.llm.pii import matches
 from postura.operators.ordered import stage
 
 MIN_CHARS, DICTIONARY, TRAIN_ROWS, THRESHOLD = 20, 10_000, 5_000, 0.5
-PATTERN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}+"
+#: Signs of keys; '=' is one only as padding at the end, else it assigns.
+SIGN = "[A-Za-z0-9+/_-]"
+PADDING = "(?:={1,2}(?![A-Za-z0-9+/_=-]))?+"
+PATTERN = rf"(?<!{SIGN}){SIGN}{{{MIN_CHARS},}}+{PADDING}"
 #: Names that secrets are assigned to, words that speak of digests, and paths of examples. Fixed values.
 NAMES = "token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?"
+#: A secret's name and its assignment, up to the value: what follows is a candidate at any length.
+ASSIGNED = rf"(?i)(?:{NAMES})[\"'`]?\s{{0,4}}(?::=|=>|={{1,3}}|:)\s{{0,4}}[\"'`]?(?=[A-Za-z0-9+/_-])"
 DIGESTS = "sha1|sha256|sha512|md5|commit|checksum|hash|digest|uuid|guid|revision|etag|integrity"
 EXAMPLES = "test|example|sample|fixture|mock|docs?/"
 FEATURES = ["length", "changes", "different", "digits", "capitals", "vowels", "words", "hexadecimal", "named", "near_name",
@@ -48,13 +55,22 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
+def _value(text: Column, start: Column) -> Column:
+    """The run of signs at a position, as a match."""
+    value = F.regexp_extract(F.substring(text, start + 1, F.length(text)), f"^{SIGN}++{PADDING}", 0)
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """Staged: one row per candidate with all features but ``words``, and ``mixed``."""
     text = F.col("text")
     path = F.lit(None).cast("string") if path_col is None else column(path_col).cast("string")
     docs = df.select(column(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("h"), path.alias("path"),
                      text_of(text_col).alias("text"))
-    found = docs.where(text.rlike(PATTERN)).select("id", "h", "path", "text", F.explode(matches(text, PATTERN)).alias("m"))
+    assigned = F.transform(matches(text, ASSIGNED), lambda m: _value(text, m["end"]))
+    spans = F.array_distinct(F.concat(matches(text, PATTERN), assigned))
+    found = (docs.where(text.rlike(PATTERN) | text.rlike(ASSIGNED))
+             .select("id", "h", "path", "text", F.explode(spans).alias("m")))
     before = F.substring(text, F.greatest(F.col("m.start") - NEAR, F.lit(0)) + 1, F.least(F.col("m.start"), F.lit(NEAR)))
     around = found.select("id", "h", "path", "m.start", "m.end", "m.value", before.alias("before"),
                           F.substring(text, F.col("m.end") + 1, F.lit(NEAR)).alias("after"))
@@ -95,7 +111,8 @@ def with_words(found: DataFrame, words: DataFrame) -> DataFrame:
 def rule_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where a plain rule is sure."""
     secret = F.col("mixed") & (F.col("named") == 1) & (F.col("assigned") == 1)
-    label = F.when(secret, 1.0).when(~F.col("mixed") & (F.col("named") == 0), 0.0)
+    prose = (F.col("words") == 1) & (F.col("quoted") == 0)
+    label = F.when(secret, 1.0).when(~F.col("mixed") & ((F.col("named") == 0) | prose), 0.0)
     return found.withColumn("label", label).where("label IS NOT NULL")
 
 

@@ -58,3 +58,21 @@ def test_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "x " + "a1" * 20, None)], "doc_id long, text string, source string")
     assert [tuple(r) for r in S.report(df).collect()] == [(1, 1, 1, "2:42")]
     assert S.report(df.where("false")).collect() == []
+
+
+def test_short_and_key_value_forms(spark):
+    rng = random.Random(16)
+    run = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k - 2)) + "a7"
+    forms = ['password: "{}"', "api_key={}", "GITHUB_TOKEN={}", '{{"secret": "{}"}}', "passwd = '{}'", "SERVICE_WITH_LONG_NAME_SECRET={}"]
+    planted = [(forms[i % 6], ["hunter2xyz99", "x7", run(8), run(16), "ghp_" + run(36), "AKIA" + run(16), run(42) + "=="][i % 7]) for i in range(210)]
+    rows = [(i, "some words é😀 " + form.format(value) + " and more words") for i, (form, value) in enumerate(planted)]
+    look = ["keep it secret: nobody knows", "userAccountManagerInternationalisation here", "12345678901234567890 end", "password is long"]
+    rows += [(1000 + i, look[i % 4]) for i in range(120)]
+    df = spark.createDataFrame([(i, t, "src") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r for r in S.report(df).collect()}
+    for i, (_, value) in enumerate(planted):
+        at = rows[i][1].rindex(value)
+        assert got[i].secrets == f"{at}:{at + len(value)}", rows[i][1]
+    assert not any(got[i].n_secrets for i in range(1000, 1120))
+    found = {r.value: r for r in S.candidates(df).collect()}
+    assert all(found[v].named == found[v].assigned == 1 for _, v in planted)
