@@ -7,7 +7,8 @@ hexadecimal, its path, and the words, assignment sign and quotes around it. The
 most frequent words, counted over all documents. The forest is trained on labelled findings (columns of ``FEATURES`` and
 ``label``); ``rule_labels`` gives such a table where no audited one exists: what is assigned to a secret's name and mixes
 letters with digits is a secret; what has no such name and only letters, or only digits, is none, nor is an unquoted run of
-dictionary words behind a name ("secret: nobody"); all else stays unlabelled.
+dictionary words behind a name ("secret: nobody"), nor, far from any such name, hexadecimal signs behind a word for digests, a UUID or
+a path; all else stays unlabelled.
 At most ``TRAIN_ROWS`` of each label are used, drawn by a hash.
 
 Candidates and features are written once and are small against the texts; words are counted before their shuffle.
@@ -41,6 +42,9 @@ NAMES = "token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-
 #: A secret's name and its assignment, up to the value: what follows is a candidate at any length.
 ASSIGNED = rf"(?i)(?:{NAMES})[\"'`]?\s{{0,4}}(?::=|=>|={{1,3}}|:)\s{{0,4}}[\"'`]?(?=[A-Za-z0-9+/_-])"
 DIGESTS = "sha1|sha256|sha512|md5|commit|checksum|hash|digest|uuid|guid|revision|etag|integrity"
+UUID = "^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$"
+#: Names of letters, each with a short number at most, between slashes.
+PATH = "^/?(?:[A-Za-z_-]{2,}+[0-9]{0,4}/)++[A-Za-z_-]*+[0-9]{0,4}$"
 EXAMPLES = "test|example|sample|fixture|mock|docs?/"
 FEATURES = ["length", "changes", "different", "digits", "capitals", "vowels", "words", "hexadecimal", "named", "near_name",
             "assigned", "quoted", "digest", "example_path"]
@@ -112,7 +116,11 @@ def rule_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where a plain rule is sure."""
     secret = F.col("mixed") & (F.col("named") == 1) & (F.col("assigned") == 1)
     prose = (F.col("words") == 1) & (F.col("quoted") == 0)
-    label = F.when(secret, 1.0).when(~F.col("mixed") & ((F.col("named") == 0) | prose), 0.0)
+    unnamed = (F.col("named") == 0) & (F.col("near_name") == 0)
+    digest = (F.col("digest") == 1) & (F.col("hexadecimal") == 1)
+    look_alike = digest | F.col("value").rlike(UUID) | F.col("value").rlike(PATH)
+    label = (F.when(secret, 1.0).when(~F.col("mixed") & ((F.col("named") == 0) | prose), 0.0)
+             .when(F.col("mixed") & unnamed & look_alike, 0.0))
     return found.withColumn("label", label).where("label IS NOT NULL")
 
 

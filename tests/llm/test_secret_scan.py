@@ -76,3 +76,20 @@ def test_short_and_key_value_forms(spark):
     assert not any(got[i].n_secrets for i in range(1000, 1120))
     found = {r.value: r for r in S.candidates(df).collect()}
     assert all(found[v].named == found[v].assigned == 1 for _, v in planted)
+
+
+def test_digests_and_uuids_are_learnt(spark):
+    rng = random.Random(17)
+    hexa = lambda k: "a7" + "".join(rng.choice("0123456789abcdef") for _ in range(k - 2))
+    uuid = lambda: "-".join(hexa(k) for k in (8, 4, 4, 4, 12))
+    forms = [lambda: (f'token = "{hexa(40)}"', 1), lambda: (f"api_key={hexa(32)}", 1), lambda: (f"sha256: {hexa(64)}", 0),
+             lambda: (f"commit {hexa(40)} merged", 0), lambda: (f"see {uuid()} there", 0), lambda: (f"in src/module2/handlers3/main/index{rng.randint(1, 99)} now", 0)]
+    data = [forms[i % 6]() for i in range(360)]
+    df = spark.createDataFrame([(i, f"some words {t} and more", "p") for i, (t, _) in enumerate(data)], "doc_id long, text string, source string")
+    found = S.with_words(S.candidates(df), S.dictionary(df))
+    labelled = S.rule_labels(found)
+    assert labelled.where("label = 0 AND mixed").count() >= 200
+    # the forest learns from other rows than it is asked about
+    forest = S.train(labelled.where("id % 12 < 6"))
+    judged = {r.id: r.score >= S.THRESHOLD for r in S.score(found.where("id % 12 >= 6"), forest).collect()}
+    assert len(judged) == 180 and all(judged[i] == bool(data[i][1]) for i in judged)
