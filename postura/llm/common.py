@@ -39,6 +39,12 @@ def text_of(name: str) -> Column:
     return F.coalesce(column(name).cast("string"), F.lit(""))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
+    """Left join of rows to a table with one row per key, where one key may hold a large part of the rows: those of a key are
+    dealt to ``salts`` tasks by a hash of ``spread``, and the table's row goes to each of them. The key stays once."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
 
 
 def drawn(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import decontaminate, embeddings, line_dedup, packing, pages, pii, quality, secret_scan, simhash, token_files
+from postura.llm import decontaminate, embeddings, files, line_dedup, packing, pages, pii, quality, secret_scan, simhash, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_secrets")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.report(read(spark, sf, "documents"))
+
+
+@query("op11_warc")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.digest(warc.write(read(spark, sf, "pages"), files.new_folder(spark)))
