@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postura.llm import (decontaminate, embeddings, files, line_dedup, packing, pages, periodic_runs, pii, quality, secret_scan,
-                         simhash, token_files, warc)
+from postura.llm import (collocations, decontaminate, embeddings, files, line_dedup, packing, pages, periodic_runs, pii, quality,
+                         secret_scan, simhash, token_files, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(periodic_runs.with_planted(read(spark, sf, "documents"))))
+
+
+@query("op13_collocations")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.top(collocations.collocations(read(spark, sf, "documents")))
