@@ -27,6 +27,7 @@ from postura.operators.ordered import drop_staged, stage, staging_path
 from postura.plans import worker_report as W
 from postura.sources import adapters, observation, sampling, sinks
 from postura.streaming import posture_stream as ST
+from postura.streaming import replay as RP
 
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -991,23 +992,34 @@ def _(t):
 
 @query("stream_posture", "SELECT video_id, raw_id, frame_idx, raw_label, label FROM lab_raw_id")
 def _(t):
-    """The frames replayed as a file stream, in time order within one micro-batch."""
-    rows = t.frames.select("video_id", "raw_id", "frame_idx", "ts", "trunk", "hip", "knee", "disp", "conf")
-    source = staging_path(t.spark)
-    rows.write.parquet(source)
-    return ST.replay(t.spark, source, rows.schema, staging_path(t.spark)).select(
+    """The frames as a file stream: up to 24 seconds late and out of order, in twelve micro-batches."""
+    rows = t.frames.select("video_id", "raw_id", "frame_idx", "ts", "trunk", "hip", "knee", "disp", "conf", "event_id")
+    late = F.col("ts") + F.pmod(F.col("event_id") * 37, F.lit(240)) / 10.0
+    return _streamed(t, rows, late, 24, "ts", lambda df, wait: ST.stream_posture(df, lateness=wait)).select(
         "video_id", "raw_id", "frame_idx", "raw_label", "label")
 
 
+def _streamed(t, rows: DataFrame, at: Column, late_s: float, ts: str, run) -> DataFrame:
+    """Play a table as a stream whose rows are at most ``late_s`` later than their time; a micro-batch holds one slice."""
+    source, wait = staging_path(t.spark), late_s + RP.slice_width(rows, at) + 1
+    RP.deliver(rows, at, source)
+    return RP.play(t.spark, source, rows.schema, staging_path(t.spark), lambda df: run(df, f"{int(wait) + 1} seconds"), ts, 4)[0]
+
+
 @query("stream_exposure_5min", "SELECT video_id, worker_id, CAST(epoch(time_bucket(INTERVAL '5 minutes', tm)) AS BIGINT) "
        "AS window_start, count(*) AS n_frames, " + ", ".join(
            f"{O.r(f'(count(*) FILTER (label = {O.q(v)}))/count(*)*100e0', 1)} AS {v}_pct" for v in T.LABELS)
        + """ FROM (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(frame_idx AS BIGINT)) AS tm FROM lab_worker_id)
   GROUP BY 1, 2, 3""")
 def _(t):
+    """The labelled frames as a file stream: up to four minutes late, and every seventh frame twice."""
     start = F.timestamp_seconds(F.lit(1704067200))  # 2024-01-01 00:00:00 UTC
-    timed = t.labelled.withColumn("event_time", ST.event_time(F.col("frame_idx").cast("double"), start))
-    out = ST.exposure_5min(timed)
+    timed = t.labelled.select("video_id", "worker_id", "frame_idx", "label", "event_id", ST.event_time(F.col("frame_idx").cast("double"), start)
+                              .alias("event_time"))
+    rows = timed.withColumn("again", F.lit(0)).unionByName(timed.where("event_id % 7 = 0").withColumn("again", F.lit(300)))
+    late = F.unix_seconds("event_time") + F.pmod(F.col("event_id") * 37, F.lit(240)) + F.col("again")
+    out = _streamed(t, rows, late.cast("double"), 540, "event_time",
+                    lambda df, wait: ST.exposure_5min(df, lateness=wait, frame="frame_idx"))
     return out.withColumn("window_start", F.unix_seconds("window_start"))
 
 

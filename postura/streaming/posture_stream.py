@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from postura import tables as T
 from postura.config import DEFAULTS, Thresholds
@@ -21,98 +20,172 @@ from postura.functions.posture import posture_raw
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _OUT = "video_id long, raw_id long, frame_idx long, ts double, raw_label string, label string"
-_STATE = "seen array<struct<label:string,weight:double>>, run int, ax double, ay double"
+_HELD = np.dtype([("ms", "<i8"), ("frame_idx", "<i8"), ("ts", "<f8"), ("disp", "<f8"), ("ax", "<f8"), ("ay", "<f8"), ("conf", "<f8"),
+                  ("still", "u1"), ("still_conf", "<f8")])
+#: Of the last frames: label and weight. ``ms`` is the time of the last frame.
+_SEEN = np.dtype([("label", "u1"), ("weight", "<f8")])
+_STATE = "seen binary, run long, ax double, ay double, ms long"
+#: Where ``ts`` as a clock begins (2000-01-01): a watermark begins at 1970 and takes what lies there as late.
+START = 946_684_800
+WALKING = T.LABELS.index("walking")
+
+
+def moves(rows: np.ndarray, last: tuple[float, float]) -> tuple[np.ndarray, tuple[float, float]]:
+    """Distance of each ankle point from the last valid one before it, and the last valid one of all (nan: none so far)."""
+    points = pd.DataFrame({"x": [last[0], *rows["ax"]], "y": [last[1], *rows["ay"]]})
+    known = points.where(points["x"].notna()).ffill().to_numpy()
+    dx, dy = rows["ax"] - known[:-1, 0], rows["ay"] - known[:-1, 1]
+    return np.sqrt(dx * dx + dy * dy), (float(known[-1, 0]), float(known[-1, 1]))
+
+
+def run_lengths(moving: np.ndarray, before: int) -> np.ndarray:
+    """Length so far of the run of true values, where a run of the given length came before."""
+    at = np.arange(len(moving))
+    last = np.maximum.accumulate(np.where(moving, -1, at))
+    return np.where(last < 0, at + 1 + before, at - last)
+
+
+def votes(label: np.ndarray, weight: np.ndarray, first: int, window: int) -> np.ndarray:
+    """Weighted majority of each position from ``first`` on over the window that ends there; a tie goes to the label seen first."""
+    at = np.arange(first, len(label))
+    total, seen = np.zeros((len(at), len(T.LABELS))), np.full((len(at), len(T.LABELS)), len(label))
+    rows = np.arange(len(at))
+    for back in range(window - 1, -1, -1):
+        inside = at >= back
+        some, k = rows[inside], at[inside] - back
+        total[some, label[k]] += weight[k]
+        seen[some, label[k]] = np.minimum(seen[some, label[k]], k)
+    best = total == total.max(1, keepdims=True)
+    return np.where(best, seen, len(label) + 1).argmin(1)
 
 
 class _Vote(StatefulProcessor):
-    """Per track: the last labels with their weights, and the length of the running movement."""
+    """Frames of a track wait in slices of event time until the watermark has passed a slice; then it is labelled in order.
 
-    def __init__(self, limits: Thresholds, ttl_ms: int | None):
+    The buffer is a map from slice to frames, so what is in hand at once is one slice of one track; what is in the store
+    is bounded by the lateness. Between slices the state keeps the labels that the vote looks back at, the running movement
+    and the last ankle point.
+    """
+
+    def __init__(self, limits: Thresholds, given: bool, slice_ms: int, idle_ms: int | None):
         self.window, self.walk_frames, self.walk_px = limits.vote_frames, limits.walk_frames, limits.walk_px
-        self.ttl_ms = ttl_ms
+        self.given, self.slice_ms, self.idle_ms = given, slice_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("track", _STATE, self.ttl_ms)
+        self.handle = handle
+        self.held = handle.getMapState("held", "slice long", "frames binary")
+        self.state = handle.getValueState("track", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, run, last = [], 0, None
+        for chunk in rows:
+            if key[1] is None or key[1] != key[1]:  # a row without a track only moves the time on
+                continue
+            packed = np.zeros(len(chunk), dtype=_HELD)
+            for name in _HELD.names:
+                packed[name] = chunk[name].to_numpy()
+            slices = packed["ms"] // self.slice_ms
+            for k in np.unique(slices).tolist():
+                before = self.held.getValue((k,)) if self.held.containsKey((k,)) else None
+                if before is None:
+                    self.handle.registerTimer((k + 1) * self.slice_ms)
+                some = packed[slices == k].tobytes()
+                self.held.updateValue((k,), ((bytes(before[0]) if before else b"") + some,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if at % self.slice_ms:
+            if self.state.exists() and self.state.get()[4] + self.idle_ms < at:
+                self.state.clear()
+            return
+        slice_key = (at // self.slice_ms - 1,)
+        rows = np.frombuffer(bytes(self.held.getValue(slice_key)[0]), dtype=_HELD)
+        self.held.removeKey(slice_key)
+        yield self._labelled(key, rows[np.lexsort((rows["frame_idx"], rows["ts"]))])
+
+    def _labelled(self, key, rows: np.ndarray) -> pd.DataFrame:
+        seen, run, last, ms = np.zeros(0, dtype=_SEEN), 0, (np.nan, np.nan), None
         if self.state.exists():
-            kept, run, ax, ay = self.state.get()
-            seen, last = list(kept), None if ax is None else (ax, ay)
-        # a track's rows of one micro-batch come as several Arrow batches in any order: ordered as a whole, never per batch
-        whole = pd.concat(list(rows)).sort_values(["ts", "frame_idx"], kind="stable")
-        for at in range(0, len(whole), 10_000):
-            out = []
-            for r in whole.iloc[at:at + 10_000].itertuples(index=False):
-                moved = r.disp
-                if not r.given:
-                    here = None if math.isnan(r.ax) else (r.ax, r.ay)
-                    moved = math.dist(here, last) if here and last else math.nan
-                    last = here or last
-                run = run + 1 if moved > self.walk_px else 0  # a missing displacement (nan) ends the run
-                walks = run >= self.walk_frames
-                raw, conf = ("walking", 0.88) if walks else (r.still_label, r.still_conf)
-                seen = [*seen, (raw, max(0.1, conf * r.conf))][-self.window:]
-                totals: dict = {}
-                for label, weight in seen:
-                    totals[label] = totals.get(label, 0.0) + weight
-                out.append((key[0], key[1], r.frame_idx, r.ts, raw, max(totals, key=totals.get)))
-            yield pd.DataFrame(out, columns=["video_id", "raw_id", "frame_idx", "ts", "raw_label", "label"])
-        self.state.update((seen, run, *(last or (None, None))))
+            packed, run, *last, ms = self.state.get()
+            seen, last = np.frombuffer(bytes(packed), dtype=_SEEN), tuple(np.nan if v is None else v for v in last)
+            if self.idle_ms is not None:
+                self.handle.deleteTimer(self._idle_at(ms))
+                if rows["ms"][0] - ms > self.idle_ms:
+                    seen, run, last = seen[:0], 0, (np.nan, np.nan)
+        moved, last = (rows["disp"], last) if self.given else moves(rows, last)
+        runs = run_lengths(moved > self.walk_px, run)  # a missing displacement (nan) ends the run
+        walks = runs >= self.walk_frames
+        here = np.zeros(len(rows), dtype=_SEEN)
+        here["label"] = np.where(walks, WALKING, rows["still"])
+        here["weight"] = np.fmax(0.1, np.where(walks, 0.88, rows["still_conf"]) * rows["conf"])
+        both = np.concatenate([seen, here])
+        best = votes(both["label"], both["weight"], len(seen), self.window)
+        end = int(rows["ms"][-1])
+        keep = both[max(0, len(both) - self.window + 1):]
+        self.state.update((keep.tobytes(), int(runs[-1]), *(None if v != v else float(v) for v in last), end))
+        if self.idle_ms is not None:
+            self.handle.registerTimer(self._idle_at(end))
+        names = np.array(T.LABELS, dtype=object)
+        return pd.DataFrame({"video_id": key[0], "raw_id": key[1], "frame_idx": rows["frame_idx"], "ts": rows["ts"],
+                             "raw_label": names[here["label"]], "label": names[best]})
+
+    def _idle_at(self, ms: int) -> int:
+        """After the time of rest, and never the end of a slice."""
+        return ((ms + self.idle_ms) // self.slice_ms + 1) * self.slice_ms + 1
 
     def close(self) -> None:
         pass
 
 
-def stream_posture(frames: DataFrame, limits: Thresholds = DEFAULTS, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming frames of each track → raw and smoothed labels, equal to the batch result.
+def stream_posture(frames: DataFrame, limits: Thresholds = DEFAULTS, lateness: str = "30 seconds", slice_s: float = 10.0,
+                   idle_s: float | None = None, event_time: str | None = None) -> DataFrame:
+    """Streaming frames of each track to raw and smoothed labels, equal to the batch result.
 
-    Rows of one micro-batch may come in any order and any number of files; a frame that is older than what an earlier
-    micro-batch held is labelled when it comes. The trigger of the source bounds a micro-batch.
+    Frames may come in any order and in any batch, as long as none comes after one that is ``lateness`` newer (in the whole
+    stream, by ``event_time``, else by ``ts`` as seconds of a common clock): a frame comes out once the watermark has
+    passed the end of its slice, and one behind the watermark is dropped. A row without ``raw_id`` only moves the time on. A frame
+    without a time is dropped.
 
-    With ``ttl_ms``, a track that was silent for so long starts anew.
+    With ``idle_s`` (at least a slice), a track that was silent for longer starts anew and its state is given up.
 
-    The rules run as columns on the JVM; the stateful part only counts movement and votes. Needs the RocksDB state
-    store (``spark.sql.streaming.stateStore.providerClass``).
+    The rules run as columns on the JVM; the stateful part only orders frames, counts movement and votes, in arrays. Needs the
+    RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
+    slice_ms, idle_ms = round(slice_s * 1000), None if idle_s is None else round(idle_s * 1000)
+    if idle_ms is not None and idle_ms < slice_ms:
+        raise ValueError("a track cannot be idle for less than a slice")
     low = F.col("hips_low") if "hips_low" in frames.columns else F.lit(False)
     still = posture_raw(F.col("trunk"), F.col("hip"), F.col("knee"), F.lit(False), low, limits)
     given = "disp" in frames.columns  # else the displacement is taken from the ankle point, kept in the state
     none = F.lit(None).cast("double")
     moved = [F.col("disp") if given else none.alias("disp")]
     moved += [none.alias("ax"), none.alias("ay")] if given else [F.col("ankle.x").alias("ax"), F.col("ankle.y").alias("ay")]
-    ready = frames.select("video_id", "raw_id", "frame_idx", "ts", "conf", *moved, still.alias("_s"))
-    rows = ready.select("video_id", "raw_id", "frame_idx", "ts", "conf", "disp", "ax", "ay", F.lit(given).alias("given"),
-                        F.col("_s.label").alias("still_label"), F.col("_s.conf").alias("still_conf"))
-    return rows.groupBy("video_id", "raw_id").transformWithStateInPandas(
-        statefulProcessor=_Vote(limits, ttl_ms), outputStructType=_OUT,
-        outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def replay(spark: SparkSession, source: str, schema: StructType, work: str, limits: Thresholds = DEFAULTS) -> DataFrame:
-    """Run the stream once over all files of a folder and read back what it wrote."""
-    conf, name = spark.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name, None)
-    conf.set(name, ROCKSDB)
-    try:
-        frames = spark.readStream.schema(schema).parquet(source)
-        run = (stream_posture(frames, limits).writeStream.outputMode("append").format("parquet")
-               .option("path", f"{work}/out").option("checkpointLocation", f"{work}/state")
-               .trigger(availableNow=True).start())
-        run.awaitTermination()
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
-    return spark.read.parquet(f"{work}/out")
-
-
-def exposure_5min(labelled: DataFrame, ts: str = "event_time", lateness: str = "10 minutes",
-                  width: str = "5 minutes") -> DataFrame:
-    """Share of each label among the frames of a worker in tumbling windows; one function for batch and stream."""
+    own = F.timestamp_micros((F.rint(F.col("ts") * 1e6) + F.lit(START * 1e6)).cast("long"))
+    time = F.col(event_time).cast("timestamp") if event_time else own
+    number = F.create_map(*[x for i, v in enumerate(T.LABELS) for x in (F.lit(v), F.lit(i))])
+    ready = frames.select("video_id", "raw_id", "frame_idx", "ts", F.col("conf").cast("double").alias("conf"), *moved, still.alias("_s"),
+                          time.alias("event_time")).where(F.col("event_time").isNotNull())
+    rows = ready.select("video_id", "raw_id", "event_time", F.unix_millis("event_time").alias("ms"),
+                        F.coalesce("frame_idx", F.lit(0)).alias("frame_idx"), F.coalesce("ts", F.lit(0.0)).alias("ts"), "disp", "ax", "ay",
+                        "conf", F.element_at(number, F.col("_s.label")).alias("still"), F.col("_s.conf").alias("still_conf"))
+    return rows.withWatermark("event_time", lateness).groupBy("video_id", "raw_id").transformWithStateInPandas(
+        statefulProcessor=_Vote(limits, given, slice_ms, idle_ms), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
+
+
+def exposure_5min(labelled: DataFrame, ts: str = "event_time", lateness: str = "10 minutes", width: str = "5 minutes",
+                  frame: str | None = None) -> DataFrame:
+    """Share of each label among the frames of a worker in tumbling windows; one function for batch and stream.
+
+    A stream gives a window out when the watermark has passed its end; a frame behind the watermark is dropped. ``frame`` names the
+    column that tells the frames of a worker apart: a frame that is delivered again counts once (in a stream: within the
+    lateness, which is how long it is remembered).
+    """
+    key = ["video_id", "worker_id", frame]
     if labelled.isStreaming:
         labelled = labelled.withWatermark(ts, lateness)
+        labelled = labelled.dropDuplicatesWithinWatermark(key) if frame else labelled
+    elif frame:
+        labelled = labelled.dropDuplicates(key)
     counts = [F.count_if(F.col("label") == v).alias(f"_{v}") for v in T.LABELS]
     per = labelled.groupBy("video_id", "worker_id", F.window(ts, width).alias("w")).agg(
         F.count(F.lit(1)).alias("n_frames"), *counts)

@@ -12,6 +12,7 @@ from postura.operators.frames import classify
 from postura.operators.ordered import stage, staging_path
 from postura.sources import observation
 from postura.streaming import posture_stream as ST
+from postura.streaming import replay as RP
 
 
 def walk(n_slices, per, turns):
@@ -107,7 +108,8 @@ def test_stream_of_one_long_track(spark, tmp_path, batch):
     before = spark.conf.get(name)
     spark.conf.set(name, str(batch))
     try:
-        out = ST.replay(spark, source, df.schema, str(tmp_path / "work")).select("frame_idx", "raw_label", "label").collect()
+        played, _ = RP.play(spark, source, df.schema, str(tmp_path / "work"), ST.stream_posture, "ts")
+        out = played.select("frame_idx", "raw_label", "label").collect()
     finally:
         spark.conf.set(name, before)
     want = classify(df, "raw_id").select("frame_idx", "raw_label", "label").collect()
