@@ -189,10 +189,14 @@ def shards(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
 
 
 def frequent_words(parts: DataFrame, least: int = LEAST) -> DataFrame:
-    """``id``, ``lang``, ``word``, ``f`` of the words that occur often enough; ids are unique over languages. Staged."""
+    """``id``, ``lang``, ``word``, ``f`` of the words that occur often enough; ids are small and unique over languages. Staged."""
     words = parts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
     total = words.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
-    return stage(total.select((F.monotonically_increasing_id() + 1).alias("id"), "lang", F.col("word").cast("string").alias("word"), "f"))
+    found = stage(total.select(F.monotonically_increasing_id().alias("at"), "lang", F.col("word").cast("string").alias("word"), "f"))
+    # the task's number above 33 bits of the row's: dealt like cards the ids stay about as small as their number
+    tasks = found.agg(F.coalesce(F.max(F.shiftright("at", 33)), F.lit(0)) + 1).first()[0]
+    number = F.col("at").bitwiseAND((1 << 33) - 1) * F.lit(tasks) + F.shiftright("at", 33) + 1
+    return found.select(number.alias("id"), "lang", "word", "f")
 
 
 def phrase_counts(parts: DataFrame, words: DataFrame, least: int = LEAST) -> DataFrame:
@@ -200,7 +204,9 @@ def phrase_counts(parts: DataFrame, words: DataFrame, least: int = LEAST) -> Dat
     local = parts.select("shard", "lang", F.posexplode("words").alias("at", "w"))
     known = local.join(words.select("lang", F.col("word").cast("binary").alias("w"), "id"), ["lang", "w"])
     given = known.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known"))
-    ready = parts.select("shard", "ids", "twice", F.size("words").alias("size")).join(given, "shard").select("ids", "twice", "size", "known")
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // 2)  # a few shards each
+    coded = parts.select("shard", "ids", "twice", F.size("words").alias("size")).repartition(tasks, "shard")
+    ready = coded.join(given.repartition(tasks, "shard"), "shard").select("ids", "twice", "size", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -223,7 +229,8 @@ def phrase_counts(parts: DataFrame, words: DataFrame, least: int = LEAST) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, c])) for c in range(3)]
                                                      + [pa.array(n[low:low + (1 << 16)])], ["x", "y", "z", "n"])
 
-    found = ready.mapInArrow(run, _COUNTS)
+    # a task's shards have few phrases in common: they go to their keys as they are, and are summed there
+    found = ready.mapInArrow(run, _COUNTS).repartition("x", "y", "z")
     return stage(found.groupBy("x", "y", "z").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
 
 
