@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postura.llm.common import by_value, column, salted_join, small_batches, text_of
+from postura.llm.common import by_value, column, small_batches, text_of
 from postura.operators.ordered import stage
 
 LONGEST = 3
@@ -66,7 +66,7 @@ class Shard:
         counts = np.bincount(ids, minlength=len(words) + 1)
         twice = np.array([[self.numbers[w] for w in pair] for pair in self.twice], dtype="<i4")
         np.subtract.at(counts, twice.ravel(), 1)
-        return {"shard": uuid.uuid4().hex, "lang": lang, "words": words, "counts": counts[1:].tolist(), "n": int(counts[1:].sum()),
+        return {"shard": uuid.uuid4().int >> 65, "lang": lang, "words": words, "counts": counts[1:].tolist(), "n": int(counts[1:].sum()),
                 "ids": zstandard.compress(ids.astype("<i4").tobytes()), "twice": twice.tobytes()}
 
 
@@ -169,13 +169,13 @@ def counted(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.concatenate([count, triples])
 
 
-_SHARDS = "shard string, lang string, words array<binary>, counts array<long>, n long, ids binary, twice binary"
+_SHARDS = "shard long, lang string, words array<binary>, counts array<long>, n long, ids binary, twice binary"
 _COUNTS = "x long, y long, z long, n long"
 
 
 def shards(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = SHARD) -> DataFrame:
     """Shards of a table, staged."""
-    kinds = pa.schema([("shard", pa.string()), ("lang", pa.string()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
+    kinds = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
                        ("n", pa.int64()), ("ids", pa.binary()), ("twice", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +234,10 @@ def phrase_counts(parts: DataFrame, words: DataFrame, least: int = LEAST) -> Dat
     return stage(found.groupBy("x", "y", "z").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
 
 
-def _named(rows: DataFrame, words: DataFrame, place: str, other: str) -> DataFrame:
-    """Word and count of a place; one word may stand in a large part of all phrases."""
-    table = words.select(F.col("id").alias(place), F.col("word").alias(f"w{place}"), F.col("f").alias(f"f{place}"))
-    return salted_join(rows, table, place, F.col(other))
+def _named(rows: DataFrame, words: DataFrame, place: str) -> DataFrame:
+    """Word and count of a place. A word that stands in very many phrases is split by adaptive execution."""
+    kept = [c for c in words.columns if c not in ("id", "word", "f")]
+    return rows.join(words.select(F.col("id").alias(place), F.col("word").alias(f"w{place}"), F.col("f").alias(f"f{place}"), *kept), place)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -261,22 +261,20 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     right = triples.groupBy("x", "y").agg(F.max("a").alias("right"))
     two = pairs.join(left, ["x", "y"], "left").join(right, ["x", "y"], "left").fillna(0, ["left", "right"])
     two = two.where(100 * F.greatest("left", "right") < share * F.col("a"))
-    two = _named(_named(two, words, "x", "y"), words.drop("lang"), "y", "x")
-    lang = words.select(F.col("id").alias("x"), "lang")
-    two = two.select("x", "a", "left", "right", F.concat_ws(" ", "wx", "wy").alias("phrase"),
+    two = _named(_named(two, words.drop("lang"), "y"), words, "x")
+    two = two.select("lang", "a", "left", "right", F.concat_ws(" ", "wx", "wy").alias("phrase"),
                      F.array(F.struct(_score(F.col("a"), F.col("fx"), F.col("fy")).alias("score"), F.lit(1).alias("k"),
                                       F.col("fx").alias("l"), F.col("fy").alias("r"))).alias("cuts"))
     three = triples.join(pairs.select("x", "y", F.col("a").alias("fxy")), ["x", "y"])
     three = three.join(pairs.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("a").alias("fyz")), ["y", "z"])
-    three = _named(_named(_named(three, words, "x", "y"), words, "y", "z"), words, "z", "y")
+    three = _named(_named(_named(three, words.drop("lang"), "y"), words.drop("lang"), "z"), words, "x")
     cut = lambda k, one, rest: F.struct(_score(F.col("a"), F.col(one), F.col(rest)).alias("score"), F.lit(k).alias("k"),
                                         F.col(one).alias("l"), F.col(rest).alias("r"))
-    three = three.select("x", "a", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"),
+    three = three.select("lang", "a", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"),
                          F.concat_ws(" ", "wx", "wy", "wz").alias("phrase"),
                          F.array(cut(1, "fx", "fyz"), cut(2, "fxy", "fz")).alias("cuts"))
     both = two.unionByName(three).select("*", F.array_min("cuts").alias("c"))
-    named = salted_join(both, lang, "x", F.col("phrase")).join(totals, "lang")
-    return named.select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score", "left", "right")
+    return both.join(totals, "lang").select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score", "left", "right")
 
 
 def top(found: DataFrame, rows: int = TOP) -> DataFrame:
