@@ -9,8 +9,8 @@ from postura.llm import decontaminate, line_dedup, quality
 from postura.operators.ordered import stage
 from tests.llm.test_decontaminate import table
 from tests.llm.test_line_dedup import plain as plain_lines
+from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,8 +36,7 @@ def test_stages(spark):
     assert [(r.doc_id, r.text) for r in after] == want
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in after)
 
-    roots = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in after])
-    assert sorted(r.doc_id for r in rows[3]) == sorted(set(roots)) and len(rows[3]) < len(rows[2])
+    assert sorted(r.doc_id for r in rows[3]) == plain_kept([(r.doc_id, r.text) for r in after]) and len(rows[3]) < len(rows[2])
 
     items = [decontaminate.plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     texts = {r.doc_id: decontaminate.plain(r.text) for r in rows[3]}
