@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from postura.llm.common import by_value, column, small_batches, text_of
 from postura.operators.ordered import stage
+from postura.streaming.replay import settings
 
 LONGEST = 3
 #: Positions of a shard; a position and a word number take 21 bits each.
@@ -188,11 +189,17 @@ def shards(df: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     return stage(df.select(lang.alias("lang"), text_of(text_col).cast("binary").alias("data")).mapInArrow(run, _SHARDS))
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """A staged table; the shuffles that made it are deleted when it is written, not some time later."""
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        return stage(df)
+
+
 def frequent_words(parts: DataFrame, least: int = LEAST) -> DataFrame:
     """``id``, ``lang``, ``word``, ``f`` of the words that occur often enough; ids are small and unique over languages. Staged."""
     words = parts.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", "w.counts")
     total = words.groupBy("lang", F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
-    found = stage(total.select(F.monotonically_increasing_id().alias("at"), "lang", F.col("word").cast("string").alias("word"), "f"))
+    found = _staged(total.select(F.monotonically_increasing_id().alias("at"), "lang", F.col("word").cast("string").alias("word"), "f"))
     # the task's number above 33 bits of the row's: dealt like cards the ids stay about as small as their number
     tasks = found.agg(F.coalesce(F.max(F.shiftright("at", 33)), F.lit(0)) + 1).first()[0]
     number = F.col("at").bitwiseAND((1 << 33) - 1) * F.lit(tasks) + F.shiftright("at", 33) + 1
@@ -203,7 +210,7 @@ def phrase_counts(parts: DataFrame, words: DataFrame, least: int = LEAST) -> Dat
     """``x``, ``y``, ``z`` (word ids; z is 0 for a pair), ``a``: phrases that occur often enough, counted in every shard. Staged."""
     local = parts.select("shard", "lang", F.posexplode("words").alias("at", "w"))
     known = local.join(words.select("lang", F.col("word").cast("binary").alias("w"), "id"), ["lang", "w"])
-    given = known.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known"))
+    given = _staged(known.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known")))
     tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // 2)  # a few shards each
     coded = parts.select("shard", "ids", "twice", F.size("words").alias("size")).repartition(tasks, "shard")
     ready = coded.join(given.repartition(tasks, "shard"), "shard").select("ids", "twice", "size", "known")
@@ -231,7 +238,7 @@ def phrase_counts(parts: DataFrame, words: DataFrame, least: int = LEAST) -> Dat
 
     # a task's shards have few phrases in common: they go to their keys as they are, and are summed there
     found = ready.mapInArrow(run, _COUNTS).repartition("x", "y", "z")
-    return stage(found.groupBy("x", "y", "z").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    return _staged(found.groupBy("x", "y", "z").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
 
 
 def _named(rows: DataFrame, words: DataFrame, place: str) -> DataFrame:
