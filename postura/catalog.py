@@ -19,6 +19,7 @@ from postura.operators import association as J
 from postura.operators import bouts as B
 from postura.operators import frames as Fr
 from postura.operators import report_tables as R
+from postura.operators import rollup as RU
 from postura.operators import scoring as SC
 from postura.operators import signals as SG
 from postura.operators import tracklets as K
@@ -90,7 +91,7 @@ class Tables:
 
     @cached_property
     def ids(self) -> DataFrame:
-        roots = K.chains(self.meta, K.successors(K.stitch_candidates(self.meta)))
+        roots = K.chains(self.meta, K.nearest_successors(self.meta))
         return stage(K.rank_clusters(self.meta, roots))
 
     @cached_property
@@ -658,7 +659,7 @@ def _(t):
 
 @query("fold_stitch", "SELECT video_id, raw_id, root_raw AS root FROM ids")
 def _(t):
-    links = K.successors(K.stitch_candidates(t.meta))
+    links = K.nearest_successors(t.meta)
     return K.chains(t.meta, links).select("video_id", "raw_id", "root")
 
 
@@ -736,6 +737,26 @@ def _(t):
     return SC.reba_worker(t.frames).select(*VW, "p90_score", *_PARTS, "score_a", "score_b", "risk_level")
 
 
+_P = "(n-1)*0.9e0 - floor((n-1)*0.9e0)"
+
+
+@query("agg_rollup", f"""SELECT level, site, video_id, worker_id, n_workers, n_frames,
+  {', '.join(f"{O.r(f'_{v}/n*100e0', 1)} AS {v}_pct" for v in T.LABELS)}, max_score, p90_score, {O.level('p90_score', T.REBA_LEVELS, 2)} AS risk_level
+  FROM (SELECT *, n AS n_frames, greatest(1, least(15, CAST(floor(CASE WHEN t >= 0.5e0 THEN hi - (hi-lo)*(1e0-t) ELSE lo + (hi-lo)*t END)
+      AS INTEGER))) AS p90_score
+    FROM (SELECT *, {_P} AS t, CAST(a[CAST(floor((n-1)*0.9e0) AS BIGINT)+1] AS DOUBLE) AS lo,
+        CAST(a[least(n, CAST(floor((n-1)*0.9e0) AS BIGINT)+2)] AS DOUBLE) AS hi
+      FROM (SELECT CASE WHEN grouping(worker_id) = 0 THEN 'worker' WHEN grouping(video_id) = 0 THEN 'video'
+            WHEN grouping(site) = 0 THEN 'site' ELSE 'all' END AS level, site, video_id, worker_id, count(*) AS n,
+          count(DISTINCT video_id * 1000000 + worker_id) AS n_workers, max(final_score) AS max_score,
+          {', '.join(f"count(*) FILTER (label = '{v}') AS _{v}" for v in T.LABELS)}, list(final_score ORDER BY final_score) AS a
+        FROM (SELECT *, video_id % 4 AS site FROM reba)
+        GROUP BY GROUPING SETS ((site, video_id, worker_id), (site, video_id), (site), ())) WHERE n > 0))""")
+def _(t):
+    sites = t.videos.select("video_id", (F.col("video_id") % 4).alias("site"))
+    return RU.rollup(RU.score_counts(SC.reba_frame(t.labelled)), sites)
+
+
 _RU = {"upper_arm_score": "ru_arm", "lower_arm_score": "ru_low", "wrist_score": "ru_wrist", "score_a": "ra",
        "neck_score": "ru_neck", "trunk_score": "ru_trunk", "legs_score": "ru_legs", "score_b": "rb"}
 _RUS = ", ".join(f"{b} AS {a}" for a, b in _RU.items())
@@ -952,7 +973,9 @@ def _share_sql(p: str) -> str:
   CASE WHEN len(tools) > 0 THEN tools_text ELSE 'None' END AS "Tools Detected", reba_score::VARCHAR AS "REBA Score",
   reba_level AS "Risk Level" FROM rep LEFT JOIN vid v ON v.video_id = rep.video_id""", "linked")
 def _(t):
-    return R.csv_table(t.report, t.videos)
+    path, table = staging_path(t.spark), R.csv_table(t.report, t.videos)
+    sinks.write_csv(t.report, t.videos, path)
+    return sinks.read_csv(t.spark, table, path)
 
 
 _JSON = {
@@ -976,15 +999,19 @@ _JSON = {
 @query("sink_json", "SELECT " + ", ".join(f"{v} AS {k}" for k, (_, v) in _JSON.items())
        + " FROM rep LEFT JOIN vid v ON v.video_id = rep.video_id", "linked")
 def _(t):
-    docs = R.json_documents(t.report, t.videos)
-    return docs.select(*[F.get_json_object("document", path).alias(k) for k, (path, _) in _JSON.items()])
+    path = staging_path(t.spark)
+    sinks.write_nested_json(t.report, t.videos, W.report_series(t.run)["activity_timeline"], path)
+    fields = {k: F.get_json_object("document", place) for k, (place, _) in _JSON.items() if k != "filename"}
+    return sinks.read_nested_json(t.spark, path).select("filename", *[c.alias(k) for k, c in fields.items()])
 
 
 @query("sink_partitioned", "SELECT video_id, worker_id, tracked_s, task FROM rep", "linked")
 def _(t):
     path = staging_path(t.spark)
-    sinks.write_partitioned(t.report.drop("distribution"), path)
-    return t.spark.read.parquet(path).select(F.col("video_id").cast("long"), "worker_id", "tracked_s", "task")
+    rows = t.report.drop("distribution")
+    sinks.write_partitioned(rows, path)
+    sinks.write_partitioned(rows.where("video_id % 3 = 0"), path)  # some videos again
+    return sinks.read_partitioned(t.spark, path).select(F.col("video_id").cast("long"), "worker_id", "tracked_s", "task")
 
 
 # ================================================================== streaming

@@ -188,14 +188,9 @@ def video_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
     return videos.join(workers, "video_id", "left").select("video_id", _json(doc).alias("document"))
 
 
-def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
-    """One JSON document per worker with every bounded block.
-
-    Series that grow with the session (timeline, angle series, load events) are separate line documents, see
-    ``series_documents``; nothing unbounded is collected into one row.
-    """
+def _worker_fields() -> list[Column]:
+    """Every bounded block of a worker's document."""
     c = F.col
-    v = videos.select("video_id", _video_info().alias("video_info"))
     block = lambda p: F.struct(c(f"{p}_s").alias("duration_seconds"), hms_truncated(c(f"{p}_s")).alias("duration_formatted"),
                                share(c(f"{p}_s"), c("tracked_s")).alias("percentage"))
     reps = F.struct(*[c(f"{p}_reps") for p in ("sitting", "squatting", "standing", "bending", "walking")])
@@ -226,8 +221,8 @@ def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
                                          "rest")],
                     c("active_hms_1hr").alias("active_work_formatted"),
                     c("cycles_1hr").alias("repetitive_cycles_1hr"), "load_events_1hr", "trips_1hr")
-    doc = F.struct(
-        _metadata().alias("report_metadata"), "video_info", "worker_id", c("tracked_s").alias("total_tracked_time"),
+    return [
+        c("worker_id"), c("tracked_s").alias("total_tracked_time"),
         hms_truncated(c("tracked_s")).alias("total_tracked_time_formatted"), params.alias("parameters"),
         hour.alias("standardised_1hr_activity"),
         F.struct("reba_score", c("reba_level").alias("reba_risk_level"), "rula_score",
@@ -240,10 +235,54 @@ def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
         F.struct(c("task").alias("primary_task"), c("task_confidence").alias("confidence"),
                  c("task_hazard").alias("hazard_profile")).alias("task_classification"),
         F.struct(c("iso_violated").alias("iso_11226_violated"), c("iso_message").alias("iso_11226_message"),
-                 ).alias("shift_assessment"))
+                 ).alias("shift_assessment")]
+
+
+def json_documents(report: DataFrame, videos: DataFrame) -> DataFrame:
+    """One JSON document per worker with every bounded block.
+
+    Series that grow with the session (timeline, angle series, load events) are separate line documents, see
+    ``series_documents``; nothing unbounded is collected into one row.
+    """
+    v = videos.select("video_id", _video_info().alias("video_info"))
+    doc = F.struct(_metadata().alias("report_metadata"), F.col("video_info"), *_worker_fields())
     return report.join(v, "video_id", "left").select("video_id", "worker_id", _json(doc).alias("document"))
 
 
+def nested_lines(report: DataFrame, videos: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Lines (``video_id``, ``line``) that make one JSON document per video when they are written in the order in which they
+    come: the video's data, its workers by number, and in each worker the timeline by time.
+
+    The lines of a video are sorted into one run and separated by what stands before them, so nothing is collected: a task
+    streams the documents of its videos. Videos without a worker have an empty list.
+    """
+    none, text = F.lit(None), lambda s: F.lit(s)
+    start, end = none.cast("double"), none.cast("double")
+
+    def rows(df: DataFrame, place: int, worker: Column, part: int, line: Column, start: Column = start, end: Column = end) -> DataFrame:
+        return df.select(F.col("video_id").cast("long").alias("video_id"), F.lit(place).alias("place"), worker.cast("long").alias("worker"),
+                         F.lit(part).alias("part"), start.alias("start"), end.alias("end"), line.alias("line"))
+
+    opened = lambda doc, name: F.concat(F.expr("substr(doc, 1, length(doc) - 1)"), text(f',"{name}":['))
+    every = videos.join(report.select("video_id").distinct(), "video_id", "full")  # a video without data has workers all the same
+    heads = video_documents(report, every).withColumnRenamed("document", "doc")
+    workers = report.select("video_id", "worker_id", _json(F.struct(*_worker_fields())).alias("doc"))
+    known = timeline.join(report.select("video_id", "worker_id"), ["video_id", "worker_id"], "left_semi")
+    bout = F.struct("activity", "start_time", "end_time", "duration", "is_rest")
+    worker, nobody = F.col("worker_id"), none
+    lines = [rows(heads, 0, nobody, 0, opened("doc", "workers")), rows(workers, 1, worker, 0, opened("doc", "activity_timeline")),
+             rows(known, 1, worker, 1, _json(bout), F.col("start_time"), F.col("end_time")), rows(workers, 1, worker, 2, text("]}")),
+             rows(heads, 2, nobody, 0, text("]}"))]
+    whole = lines[0]
+    for more in lines[1:]:
+        whole = whole.unionByName(more)
+    order = Window.partitionBy("video_id").orderBy("place", "worker", "part", "start", "end")
+    before = F.lag(F.struct("place", "part")).over(order)
+    comma = (F.col("place") == 1) & (before["place"] == 1) & (
+        ((F.col("part") == 0) & (before["part"] == 2)) | ((F.col("part") == 1) & (before["part"] == 1)))
+    return whole.select("video_id", F.concat(F.when(comma, ",").otherwise(""), "line").alias("line"))
+
+
 def series_documents(rows: DataFrame, kind: str) -> DataFrame:
     """Rows of a growing series (timeline, angles, loads) as JSON lines, one per row, tagged with their kind."""
     body = [c for c in rows.columns if c not in ("video_id", "worker_id")]

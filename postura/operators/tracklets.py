@@ -100,14 +100,8 @@ def _ask(edges: DataFrame) -> DataFrame:
     return edges.withColumn("lives", F.coalesce(F.col("o1") <= held, F.lit(True)))
 
 
-def successors(candidates: DataFrame, rounds: int = 4) -> DataFrame:
-    """The greedy choice "in start order, take the nearest tracklet still free", found in parallel rounds.
-
-    Later tracklets all prefer the earliest asker, so the greedy result is the one stable matching of askers and
-    asked, and repeated asking reaches it. Each round is two window steps over candidate edges; no video is processed
-    in one piece. Rounds run in batches; a batch whose last round drops no edge is the last.
-    """
-    edges = candidates.select("video_id", "o1", "o2", "distance")
+def _settled(edges: DataFrame, rounds: int = 4) -> DataFrame:
+    """Repeated asking until no edge is dropped; the edges that are left, staged, with ``asks``. Rounds run in batches."""
     while True:
         for _ in range(rounds - 1):
             edges = _ask(edges).where("lives").drop("asks", "lives")
@@ -115,11 +109,106 @@ def successors(candidates: DataFrame, rounds: int = 4) -> DataFrame:
         last = _ask(edges).observe(dropped, F.count_if(~F.col("lives")).alias("n"))
         edges = stage(last.where("lives").drop("lives"))
         if not dropped.get["n"]:
-            return edges.where("asks").select("video_id", F.col("o1.raw_id").alias("raw_1"),
-                                              F.col("o2.raw_id").alias("raw_2"))
+            return edges
         edges = edges.drop("asks")
 
 
+def successors(candidates: DataFrame, rounds: int = 4) -> DataFrame:
+    """The greedy choice "in start order, take the nearest tracklet still free", found in parallel rounds.
+
+    Later tracklets all prefer the earliest asker, so the greedy result is the one stable matching of askers and
+    asked, and repeated asking reaches it. Each round is two window steps over candidate edges; no video is processed
+    in one piece. A batch of rounds whose last one drops no edge is the last.
+    """
+    edges = _settled(candidates.select("video_id", "o1", "o2", "distance"), rounds)
+    return _links(edges.where("asks"))
+
+
+def _links(matched: DataFrame) -> DataFrame:
+    return matched.select("video_id", F.col("o1.raw_id").alias("raw_1"), F.col("o2.raw_id").alias("raw_2"))
+
+
+#: Tracklets that a grid cell should hold at the finest level, and the most levels.
+CROWD, LEVELS = 4, 12
+
+
+def _asked(meta: DataFrame, finest: DataFrame, limits: Thresholds) -> DataFrame:
+    """Every tracklet as one that may be asked: a row per grid level and kind of place, with its cell and time bucket."""
+    rows = meta.join(finest, "video_id").select(
+        "video_id", F.struct("start_time", "raw_id").alias("o2"), _bucket(F.col("start_time"), limits).alias("tb"), "start_x", "start_y",
+        F.col("mean_x").alias("m2x"), F.col("mean_y").alias("m2y"), F.explode(F.sequence(F.lit(0), "finest")).alias("level"))
+    side = _side(limits)
+    spots = [F.struct(F.lit(how).alias("how"), F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy"))
+             for how, x, y in (("near", "start_x", "start_y"), ("mean", "m2x", "m2y"))]
+    return rows.withColumn("_p", F.explode(F.array(*spots))).select(
+        "video_id", "o2", "tb", "level", "_p.how", "_p.cx", "_p.cy", "start_x", "start_y", "m2x", "m2y")
+
+
+def _bucket(t: Column, limits: Thresholds) -> Column:
+    return F.floor(t / (limits.max_gap_s + limits.overlap_s))
+
+
+def _side(limits: Thresholds) -> Column:
+    """Side of a cell of a level: the reach at that level."""
+    return F.lit(limits.max_link_px) / F.pow(F.lit(2.0), F.col("level"))
+
+
+def _nearest(active: DataFrame, asked: DataFrame, held: DataFrame, limits: Thresholds) -> DataFrame:
+    """Edges from each active asker to what lies beyond its former reach and within that of its level, without tracklets that an
+    earlier asker holds; those never change to a later one. A cell in which all are held so is passed over as a whole."""
+    first, last = _bucket(F.col("end_time") - limits.overlap_s, limits), _bucket(F.col("end_time") + limits.max_gap_s, limits)
+    steps = range(-1, 2)
+    side = _side(limits)
+    spots = [F.struct(F.lit(how).alias("how"), (F.floor(F.col(x) / side) + i).alias("cx"), (F.floor(F.col(y) / side) + j).alias("cy"))
+             for how, x, y in (("near", "end_x", "end_y"), ("mean", "m1x", "m1y")) for i in steps for j in steps]
+    looks = active.withColumn("tb", F.explode(F.sequence(first, last))).withColumn("_p", F.explode(F.array(*spots))).select(
+        *active.columns, "tb", "_p.how", "_p.cx", "_p.cy")
+    cell = ["video_id", "tb", "level", "how", "cx", "cy"]
+    members = asked.join(held, ["video_id", "o2"], "left")
+    free = F.col("holder").isNull()
+    # the latest asker that a member of the cell would leave its holder for, or any
+    cells = members.groupBy(*cell).agg(F.max(free).alias("_free"), F.max("holder").alias("_latest"))
+    looks = looks.join(cells, cell).where(F.col("_free") | (F.col("_latest") > F.col("o1")))
+    pairs = looks.join(members, cell).where(free | (F.col("holder") > F.col("o1")))
+    d = lambda x1, y1, x2, y2: F.sqrt(F.pow(F.col(x2) - F.col(x1), 2) + F.pow(F.col(y2) - F.col(y1), 2))
+    pairs = pairs.withColumns({"gap": F.col("o2.start_time") - F.col("end_time"), "_near": d("end_x", "end_y", "start_x", "start_y"),
+                               "_mean": d("m1x", "m1y", "m2x", "m2y")}).withColumn("distance", F.least("_near", "_mean"))
+    found = F.when(F.col("how") == "near", F.col("_near") <= side).otherwise((F.col("_mean") <= side) & (F.col("_near") > side))
+    ok = (F.col("o2") > F.col("o1")) & F.col("gap").between(-limits.overlap_s, limits.max_gap_s) & found
+    return pairs.where(ok & (F.col("distance") > F.col("reach"))).select("video_id", "o1", "o2", "distance")
+
+
+def nearest_successors(meta: DataFrame, limits: Thresholds = DEFAULTS, rounds: int = 4) -> DataFrame:
+    """The same choice without all pairs of a crowd: ``meta`` (staged) to raw_1, raw_2.
+
+    Askers begin with the cells of a fine grid; one that finds all of those taken looks twice as far, until the limit. A tracklet that
+    an earlier asker holds is not looked at any more. Asking in any order leads to the one stable matching, so the result is the
+    greedy one. The finest level follows from how many tracklets of a video start in one time bucket; the cells of a crowd
+    are small, so no key holds it all. A video with few tracklets has one level and one round of looking.
+    """
+    starts = meta.groupBy("video_id", _bucket(F.col("start_time"), limits).alias("tb")).agg(F.count(F.lit(1)).alias("n"))
+    depth = F.ceil(F.log2(F.greatest(F.max("n") / CROWD, F.lit(1.0))) / 2).cast("int")
+    finest = starts.groupBy("video_id").agg(F.least(depth, F.lit(LEVELS)).alias("finest"))
+    asked = stage(_asked(meta, finest, limits))
+    askers = stage(meta.join(finest, "video_id").select(
+        "video_id", F.struct("start_time", "raw_id").alias("o1"), "end_time", "end_x", "end_y", F.col("mean_x").alias("m1x"),
+        F.col("mean_y").alias("m1y"), F.col("finest").alias("level"), F.lit(-1.0).alias("reach")))
+    edges, active = None, askers
+    held = askers.limit(0).select("video_id", F.col("o1").alias("o2"), F.col("o1").alias("holder"))
+    while True:
+        found = _nearest(active, asked, held, limits)
+        edges = _settled(found if edges is None else edges.drop("asks").unionByName(found), rounds)
+        matched = edges.where("asks")
+        waits = askers.join(matched.select("video_id", "o1"), ["video_id", "o1"], "left_anti").where("level > 0")
+        further = waits.withColumns({"level": F.col("level") - 1, "reach": _side(limits)})
+        active = stage(further)
+        if active.isEmpty():
+            return _links(matched)
+        same = askers.join(active.select("video_id", "o1"), ["video_id", "o1"], "left_anti")
+        askers = stage(same.unionByName(active))
+        held = stage(matched.select("video_id", "o2", F.col("o1").alias("holder")))
+
+
 def chains(meta: DataFrame, links: DataFrame) -> DataFrame:
     """First tracklet of every chain, by pointer doubling: log2(chain length) rounds of an equi join.
 
@@ -153,5 +242,5 @@ def rank_clusters(meta: DataFrame, roots: DataFrame) -> DataFrame:
 def stitch(frames: DataFrame, limits: Thresholds = DEFAULTS) -> DataFrame:
     """Frames → (video_id, raw_id, unified_id)."""
     meta = stage(tracklet_meta(frames, limits))
-    roots = chains(meta, successors(stitch_candidates(meta, limits)))
+    roots = chains(meta, nearest_successors(meta, limits))
     return rank_clusters(meta, roots).select("video_id", "raw_id", "unified_id")

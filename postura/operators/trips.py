@@ -103,48 +103,79 @@ def _carry_of(state: Column) -> Column:
     return F.struct(*[state[f].alias(f) for f in _CARRY], empty.alias("trips")).cast(_STATE)
 
 
+def _demands(folded: DataFrame, spans: DataFrame, key: str, reach: int) -> DataFrame:
+    """States that later slices may be given: what a slice hands over goes to the next one as it is. The trip that is under way
+    goes to further ones as well, up to the next slice that ends trips of its own, or ``reach`` slices, since it may outlast
+    them all; a new direction is taken as not yet held there."""
+    whole = F.col("pos") == 0
+    seen = folded.where(whole | (F.size("out.trips") > 0) | (F.col("given.n") > 0))  # else it began at the slice, not at a trip
+    ahead = seen.join(spans, ["video_id", key, "pos"]).where("pos < last").select(
+        "video_id", key, "pos", "last", "stop", _carry_of(F.col("out")).alias("_out"))
+    far = F.least("last", F.when(F.col("_out.n") > 1, F.greatest("stop", F.col("pos") + reach)).otherwise(F.col("pos") + 1))
+    sent = ahead.select("video_id", key, "pos", "_out", F.explode(F.sequence(F.col("pos") + 1, far)).alias("at"))
+    none = F.lit(None).cast("double")
+    begun = _state(**{f: F.col(f"_out.{f}") for f in ("n", "t0", "x0", "y0", "dir0")}, dir1=none, held=F.lit(0), trips=_fresh()["trips"])
+    given = F.when(F.col("at") == F.col("pos") + 1, F.col("_out")).otherwise(begun)
+    return sent.select("video_id", key, F.col("at").alias("pos"), given.alias("given")).distinct()
+
+
+def _true_path(steps: DataFrame, key: str, slices: int) -> DataFrame:
+    """Of transitions ``given`` to ``to`` between neighbouring slices: those on the way from the first slice, by pointer doubling."""
+    on = ["video_id", key, "pos", "given"]
+    path, hop, width = steps.where("pos = 0").select(*on), steps, 1
+    while width < slices:
+        moved = path.join(hop, on).select("video_id", key, (F.col("pos") + width).alias("pos"), F.col("to").alias("given"))
+        path = stage(path.unionByName(moved))
+        after = hop.select("video_id", key, (F.col("pos") - width).alias("pos"), F.col("given").alias("to"), F.col("to").alias("_to"))
+        if 2 * width < slices:
+            hop = stage(hop.join(after, ["video_id", key, "pos", "to"]).select(*on, F.col("_to").alias("to")))
+        width *= 2
+    return path.join(steps.select(*on), on, "left_semi")  # the last slice hands over to none
+
+
 def trips(smoothed: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:
     """Trips of every trajectory that is long enough.
 
-    The reversal state runs over all points of a worker. Each time slice is folded on its own from an assumed
-    incoming state; a slice is settled when it and all before it were given what the slice before really hands over.
-    Until a trip ends, where it began and its direction stay fixed. So all slices that are not settled are folded again at
-    once, from the beginning that the nearest earlier slice with a finished trip (or the first slice) hands over, and
-    from the held direction of the slice before. The first slice that is not settled gets its true state, so this ends; a
-    stretch without a trip settles in a round or two, however many slices it has.
+    The reversal state runs over all points of a worker. Once a trip ends the state depends on that point alone, so few
+    different states ever enter a slice. Every time slice is folded from each of them: first all slices from nothing, then from
+    what other slices hand over, all new states of a round at once, until there are none. These transitions are composed
+    by pointer doubling, which tells what really entered each slice. A trip under way is sent on over a growing number of slices, so
+    one that lasts does not cost a round per slice; the rounds are as many as states that differ, or the logarithm of the slices.
     """
+    on = ["video_id", key, "pos", "given"]
     enough = long_enough(smoothed, key, limits).select("video_id", key)
     points = F.array_sort(F.collect_list(F.struct("ts", "frame_idx", "sx", "sy", "direction")))
     # grouped before the join: rows spread by slice, not by worker
-    sliced = smoothed.groupBy("video_id", key, "chunk").agg(points.alias("pts"))
-    slices = stage(sliced.join(enough, ["video_id", key], "left_semi"))
+    sliced = stage(smoothed.groupBy("video_id", key, "chunk").agg(points.alias("pts")).join(enough, ["video_id", key], "left_semi"))
+    across = _series(key).across()
+    place = sliced.select("video_id", key, "chunk", (F.row_number().over(across) - 1).alias("pos"))
+    slices = stage(sliced.join(place, ["video_id", key, "chunk"]).drop("chunk"))
 
     def fold(df: DataFrame) -> DataFrame:
-        return stage(df.select("video_id", key, "chunk", "given",
-                               F.aggregate("pts", F.col("given"), _advance(limits)).alias("out")))
-
-    done = fold(slices.withColumn("given", _fresh()))
-    across = _series(key).across()
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+        return stage(df.select(*on, F.aggregate("pts", F.col("given"), _advance(limits)).alias("out")))
+
+    folded = [fold(slices.withColumn("given", _fresh()))]
+    ordered = Window.partitionBy("video_id", key).orderBy("pos")
+    ended = F.when(F.size("out.trips") > 0, F.col("pos"))
+    last = F.max("pos").over(Window.partitionBy("video_id", key))
+    spans = stage(folded[0].select("video_id", key, "pos", last.alias("last"), ended.alias("_e")).select(
+        "video_id", key, "pos", "last",
+        F.coalesce(F.min("_e").over(ordered.rowsBetween(1, Window.unboundedFollowing)), F.col("last")).alias("stop")))
+    known, reach = folded[0].select(*on), 1
     while True:
-        hand_over = done.select("video_id", key, "chunk", "given", _carry_of(F.col("out")).alias("_out"),
-                                (F.size("out.trips") > 0).alias("_ended"))
-        source = F.when(F.col("_ended") | (F.row_number().over(across) == 1), F.col("_out"))
-        seen = hand_over.withColumns({"_true": F.coalesce(F.lag("_out").over(across), _fresh()), "_source": source})
-        seen = seen.withColumn("_ok", F.col("_true").eqNullSafe(F.col("given")).cast("int"))
-        seen = seen.withColumns({"_from": F.last("_source", ignorenulls=True).over(earlier),
-                                 "_settled": F.coalesce(F.min("_ok").over(earlier), F.lit(1)) == 1})
-        begun = {f: F.col(f"_from.{f}") for f in ("n", "t0", "x0", "y0", "dir0")}
-        guess = _state(**begun, dir1=F.col("_true.dir1"), held=F.col("_true.held"), trips=_fresh()["trips"])
-        due = seen.withColumn("_due", F.when(F.col("_settled"), F.col("_true")).otherwise(guess))
-        wrong = (due.where((F.col("_ok") == 0) & ~F.col("_due").eqNullSafe(F.col("given")))
-                 .select("video_id", key, "chunk", F.col("_due").alias("given")))
-        wrong = stage(wrong)
-        if wrong.isEmpty():
+        new = stage(_demands(folded[-1], spans, key, reach).join(known, on, "left_anti"))
+        if new.isEmpty():
             break
-        kept = done.join(wrong.drop("given"), ["video_id", key, "chunk"], "left_anti")
-        done = stage(kept.unionByName(fold(slices.join(wrong, ["video_id", key, "chunk"]))))
-    return done.select("video_id", key, F.explode("out.trips").alias("_t")).select("video_id", key, "_t.*")
+        folded.append(fold(slices.join(new, ["video_id", key, "pos"])))
+        known, reach = known.unionByName(folded[-1].select(*on)), 2 * reach
+    every = folded[0]
+    for more in folded[1:]:
+        every = every.unionByName(more)
+    steps = stage(every.select(*on, _carry_of(F.col("out")).alias("to")))
+    longest = spans.agg(F.max("last")).first()[0]
+    path = _true_path(steps, key, 1 if longest is None else longest + 1)
+    found = every.join(path, on, "left_semi")
+    return found.select("video_id", key, F.explode("out.trips").alias("_t")).select("video_id", key, "_t.*")
 
 
 def count_trips(frames: DataFrame, key: str = "worker_id", limits: Thresholds = DEFAULTS) -> DataFrame:

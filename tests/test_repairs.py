@@ -27,11 +27,33 @@ def walk(n_slices, per, turns):
     return out
 
 
-@pytest.mark.parametrize("turns", [(), tuple(range(1, 200, 3))])
-def test_trips_settle_in_few_rounds(spark, turns, monkeypatch):
-    limits = Thresholds(chunk_s=12)
-    rows = walk(200, 12, turns)
-    df = spark.createDataFrame(rows, "video_id long, worker_id long, frame_idx long, ts double, x double, y double")
+def legs(n, per, turn, seed=None):
+    """Legs of equal length; the direction turns by so many degrees after each, or by a random angle."""
+    rng, out, x, y, way = random.Random(seed), [], 0.0, 0.0, 0.0
+    for k in range(n):
+        for i in range(per):
+            x, y = x + 30 * math.cos(math.radians(way)), y + 30 * math.sin(math.radians(way))
+            out.append((1, 1, k * per + i, float(k * per + i), x, y))
+        way += turn(k) if seed is None else rng.uniform(-170, 170)
+    return out
+
+
+PATHS = {
+    "one way": walk(100, 12, ()),
+    "there and back": walk(100, 12, tuple(range(1, 100, 3))),
+    # trips of two legs each: where they begin never agrees between two phases
+    "two phases": legs(130, 9, lambda k: 60),
+    "three phases": legs(130, 9, lambda k: 31),
+    # slices see turns of their own, but the first trip never ends
+    "outlasts all": legs(131, 9, lambda k: 80 if k == 0 else (-160 if k % 2 else 160)),
+    "any": legs(130, 9, None, seed=3),
+}
+
+
+@pytest.mark.parametrize(("path", "per"), [(path, 12) for path in PATHS] + [("any", 7)])
+def test_trips_settle_in_few_rounds(spark, path, per, monkeypatch):
+    limits = Thresholds(chunk_s=per)
+    df = spark.createDataFrame(PATHS[path], "video_id long, worker_id long, frame_idx long, ts double, x double, y double")
     smoothed = stage(trips.moving_avg(df, limits=limits))
     folded = []
     keep = trips.stage
@@ -41,8 +63,9 @@ def test_trips_settle_in_few_rounds(spark, turns, monkeypatch):
     monkeypatch.undo()
     whole = Thresholds(chunk_s=10 ** 6)
     want = sorted(tuple(r) for r in trips.trips(stage(trips.moving_avg(df, limits=whole)), limits=whole).collect())
-    assert got == want and bool(want) == bool(turns)
-    assert rounds <= 2 * 4 + 1  # a round stages its folds and the table with them
+    assert got == want and bool(want) == (path not in ("one way", "outlasts all"))
+    slices = len(PATHS[path]) // per
+    assert rounds <= math.log2(slices) + 4, (rounds, slices)
 
 
 def test_p90_truncates_the_float(spark):

@@ -148,6 +148,39 @@ def tracks(seed, n=40):
     return rows
 
 
+def crowd(rng, n, late):
+    """Everyone is lost at about the same time on a small place; a share is seen again soon after."""
+    facts = []
+    for i in range(n):
+        again = i >= n * (1 - late)
+        t0 = rng.uniform(60, 90) if again else rng.uniform(0, 20)
+        p, q = [(rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(2)]
+        facts.append({"id": i, "t0": round(t0, 3), "t1": round(t0 + rng.uniform(5, 30), 3), "p0": p, "p1": q, "n": 5,
+                      "m": ((p[0] + q[0]) / 2, (p[1] + q[1]) / 2)})
+    return sorted(facts, key=lambda f: (f["t0"], f["id"]))
+
+
+@pytest.mark.parametrize("late", [0.5, 0.3])
+def test_crowds_take_few_pairs(spark, late, monkeypatch):
+    """All may follow all: the pairs that are looked at grow with the tracklets, not with their square."""
+    looked = {}
+    keep = K._nearest
+    for n in (150, 600):
+        facts = crowd(random.Random(n), n, late)
+        meta = stage(spark.createDataFrame(
+            [(1, f["id"], f["t0"], f["t1"], f["n"], *f["p0"], *f["p1"], *f["m"]) for f in facts],
+            "video_id long, raw_id long, start_time double, end_time double, n_frames long, start_x double, start_y double, end_x double, "
+            "end_y double, mean_x double, mean_y double"))
+        pairs = []
+        monkeypatch.setattr(K, "_nearest", lambda *a: pairs.append((found := stage(keep(*a))).count()) or found)
+        got = {r.raw_1: r.raw_2 for r in K.nearest_successors(meta).collect()}
+        monkeypatch.undo()
+        assert got == plain.links(facts) and len(got) > n / 5
+        looked[n] = sum(pairs)
+    every = 600 * 600 * late * (1 - late)
+    assert looked[600] < every / 4 and looked[600] < 8 * looked[150], (looked, every)
+
+
 @pytest.mark.parametrize("width", [1e6, 20.0])
 @pytest.mark.parametrize("seed", [11, 12, 13])
 def test_stitch_equals_greedy_loop(spark, width, seed):
@@ -165,6 +198,7 @@ def test_stitch_equals_greedy_loop(spark, width, seed):
     want = plain.links(facts)
     got = {r.raw_1: r.raw_2 for r in K.successors(K.stitch_candidates(meta, limits), rounds=2).collect()}
     assert got == want and len(want) > 5
+    assert {r.raw_1: r.raw_2 for r in K.nearest_successors(meta, limits, rounds=2).collect()} == want
     # chains and worker numbers
     root = {f["id"]: f["id"] for f in facts}
     for f in facts:
