@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postura.llm.common import by_value, column, small_batches, text_of
+from postura.llm.files import qualified
 from postura.llm.tokens import word_bpe
 from postura.operators.ordered import stage, staging_path
 
@@ -160,6 +161,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", te
           file_text: int = FILE_TEXT) -> DataFrame:
     """Encode every text, append the end id and write the files; returns the staged manifest (part, path, docs, ids)."""
     small_batches(df.sparkSession)
+    folder = qualified(df.sparkSession, folder)  # where Spark itself would put it, not each machine's own disk
     rows = df.select(column(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     parts = max(1, -(-size // file_text), -(-n // 1_000_000))

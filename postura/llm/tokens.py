@@ -29,7 +29,8 @@ _WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\
 _RARE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
 
-_ASCII_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: ASCII white space but the space.
+_BREAKS = "\n\t\r\x0b\x0c"
 
 
 def _separate(text: str) -> bool:
@@ -89,7 +90,9 @@ class Encoder:
             if not text:
                 out.append(b"")
             elif self.lower:
-                out.append(b"".join(self._parts(_ASCII_SPACE.sub(" ", text).split(" "))))
+                for mark in _BREAKS:
+                    text = text.replace(mark, " ")
+                out.append(b"".join(self._parts(text.split(" "))))  # nothing between two spaces is a part without ids
             elif not _separate(text):
                 out.extend(self._library([text]))
             else:

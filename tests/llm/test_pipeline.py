@@ -53,3 +53,23 @@ def test_stages(spark):
 
 def test_run(spark):
     assert CP.run(spark, SF).count() > 50
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for name, step in CP.STAGES:
+        out = stage(step(spark, docs, SF))
+        assert out.count() == 0, name
+        docs = out if name != "packing" else docs
+
+
+def test_blank_documents_and_clashing_columns(spark):
+    """Only null, empty and blank texts without a source or language, beside columns named like the operators' own."""
+    kind = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [(1, None, None, None, None), (2, "", None, None, 0), (3, " \n ", None, None, 3), (None, "a b", None, None, 3), (3, " \n ", None, None, 3)]
+    docs = spark.createDataFrame(rows, kind).withColumns({c: F.lit("x") for c in ("host", "n", "cls", "keep", "score", "ids", "_salt")})
+    for name, step in CP.STAGES:
+        docs = stage(step(spark, docs, SF))
+        if name == "near_dedup":  # blank texts are copies of each other
+            assert docs.count() <= 2
+    assert docs.count() <= 2
