@@ -6,6 +6,7 @@ blocks travels as one minimum and maximum per block, or, for the spectrum, as th
 
 from __future__ import annotations
 
+import bisect
 import math
 import sys
 
@@ -87,45 +88,68 @@ def _judge(prominence: float):
     return codes
 
 
-def _crossing(open_peaks: DataFrame, rows: DataFrame, keys: KEYS, prominence: float, backwards: bool) -> DataFrame:
-    """Open peaks whose nearest decisive value in other blocks is low enough, to the left or (backwards) to the right.
-
-    Blocks are searched through a pyramid of minima and maxima, one equi join per step: up while nothing decides, down
-    again once something does, so about twice log2(blocks) steps.
+def _nearest_blocks(prominence: float):
+    """Per series, from one row per block: for each open side of a peak the nearest block beyond it that holds a value above the
+    peak or one that is low enough. Two stacks of blocks are kept, of falling maxima and of rising minima; what a block hides
+    from the blocks behind it is taken off, so a peak's block is found by bisection in either.
     """
-    last = F.floor((F.col("n") - 1) / F.col("_width"))
-    index = (last - F.col("chunk")) if backwards else F.col("chunk")
-    blocks = rows.groupBy(*keys, "n", "_width", "chunk").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
-    levels = F.sequence(F.lit(0), F.ceil(F.log2(last + 1)).cast("int"))
-    pyramid = stage(blocks.withColumn("_i", index).withColumn("lev", F.explode(levels))
-                    .groupBy(*keys, "lev", F.expr("shiftright(_i, lev)").alias("blk"))
-                    .agg(F.min("mn").alias("mn"), F.max("mx").alias("mx")))
-    todo = stage(open_peaks.select(*keys, "n", "_width", "chunk", "pos", "value", F.lit(0).alias("lev"),
-                                   (index - 1).alias("blk")).where("blk >= 0"))
-    found = None
-    while not todo.isEmpty():
-        seen = todo.join(pyramid, [*keys, "lev", "blk"])
-        hit = (F.col("mx") > F.col("value")) | (F.col("value") - F.col("mn") >= prominence)
-        even = F.col("blk") % 2 == 0
-        step = (F.when(hit, F.struct((F.col("lev") - 1).alias("lev"), (F.col("blk") * 2 + 1).alias("blk")))
-                .when(even, F.struct((F.col("lev") + 1).alias("lev"), (F.expr("blk div 2") - 1).alias("blk")))
-                .otherwise(F.struct("lev", (F.col("blk") - 1).alias("blk"))))
-        moved = stage(seen.select(*keys, "n", "_width", "chunk", "pos", "value", (hit & (F.col("lev") == 0)).alias("_hit"),
-                                  F.col("blk").alias("_at"), step.alias("_s")))
-        here = moved.where("_hit").drop("_s", "_hit")
-        found = here if found is None else found.unionByName(here)
-        todo = moved.where("not _hit").select(*keys, "n", "_width", "chunk", "pos", "value", "_s.lev", "_s.blk").where(
-            "blk >= 0")
-    if found is None:
-        return open_peaks.where(F.lit(False))
-    place = (last - F.col("_at")) if backwards else F.col("_at")
-    there = rows.select(*keys, "chunk", F.col("pos").alias("_pos"), F.col("value").alias("_v"))
-    inside = found.withColumnRenamed("chunk", "_home").withColumn("chunk", place).join(there, [*keys, "chunk"])
+
+    def one_way(peaks: pd.DataFrame, chunks: np.ndarray, low: np.ndarray, high: np.ndarray, back: bool) -> pd.DataFrame:
+        order = np.argsort(chunks)[::-1] if back else np.argsort(chunks)
+        asked = peaks.sort_values("chunk", ascending=not back, kind="stable")
+        homes, values, at, k = asked["chunk"].to_numpy(), asked["value"].to_numpy(), np.full(len(asked), -1, dtype=np.int64), 0
+        tall: list[int] = []  # maxima fall from bottom to top
+        deep: list[int] = []  # minima rise from bottom to top
+        for i in order:
+            while k < len(asked) and homes[k] == chunks[i]:
+                above = bisect.bisect_left(tall, -values[k], key=lambda j: -high[j])  # the first that is not above the peak
+                below = bisect.bisect_right(deep, values[k], key=lambda j: low[j] + prominence)
+                below = _exact(deep, below, low, values[k], prominence)
+                found = [chunks[stack[n - 1]] for stack, n in ((tall, above), (deep, below)) if n]
+                if found:
+                    at[k] = min(found) if back else max(found)
+                k += 1
+            while tall and high[tall[-1]] <= high[i]:
+                tall.pop()
+            while deep and low[deep[-1]] >= low[i]:
+                deep.pop()
+            tall.append(i)
+            deep.append(i)
+        return asked.assign(at=at)[at >= 0]
+
+    def _exact(deep: list[int], n: int, low: np.ndarray, value: float, prominence: float) -> int:
+        """The count of blocks that are low enough by the very difference that is tested elsewhere."""
+        while n < len(deep) and value - low[deep[n]] >= prominence:
+            n += 1
+        while n and value - low[deep[n - 1]] < prominence:
+            n -= 1
+        return n
+
+    def search(peaks: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        chunks, low, high = (blocks[c].to_numpy() for c in ("chunk", "mn", "mx"))
+        return pd.concat([one_way(peaks[peaks["side"] == side], chunks, low, high, side == 1) for side in (0, 1)])
+
+    return search
+
+
+def _confirmed(alive: DataFrame, rows: DataFrame, keys: KEYS, prominence: float) -> DataFrame:
+    """Peaks whose open sides, if any, fall far enough in other blocks before they rise. A fixed number of steps: the block of each open
+    side from one ordered pass over the blocks' extremes, then the nearest decisive value inside that block."""
+    sides = [alive.where(f"{name} = 2").select(*keys, "chunk", "pos", "value", F.lit(k).alias("side"))
+             for k, name in enumerate(("_left", "_right"))]
+    blocks = rows.groupBy(*keys, "chunk").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
+    asked = sides[0].unionByName(sides[1])
+    kind = asked.withColumn("at", F.lit(0).cast("long")).schema
+    placed = asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(_nearest_blocks(prominence), kind)
+    there = rows.select(*keys, F.col("chunk").alias("at"), F.col("pos").alias("_pos"), F.col("value").alias("_v"))
+    inside = placed.join(there, [*keys, "at"])
     falls = F.col("value") - F.col("_v") >= prominence
+    near = F.when(F.col("side") == 0, F.col("_pos")).otherwise(-F.col("_pos"))
     decisive = inside.where((F.col("_v") > F.col("value")) | falls)
-    pick = F.min_by if backwards else F.max_by
-    answer = decisive.groupBy(*keys, "pos").agg(pick(falls, F.col("_pos")).alias("_ok")).where("_ok")
-    return open_peaks.join(answer.select(*keys, "pos"), [*keys, "pos"], "left_semi")
+    answer = decisive.groupBy(*keys, "pos", "side").agg(F.max_by(falls, near).alias("_ok")).where("_ok")
+    good = answer.groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("_good"))
+    open_sides = (F.col("_left") == 2).cast("int") + (F.col("_right") == 2).cast("int")
+    return alive.join(good, [*keys, "pos"], "left").where(F.coalesce("_good", F.lit(0)) == open_sides)
 
 
 def prominent_peaks(flat: DataFrame, keys: KEYS, distance: int, prominence: float, width: int) -> DataFrame:
@@ -147,10 +171,7 @@ def prominent_peaks(flat: DataFrame, keys: KEYS, distance: int, prominence: floa
         *slot, F.col("_z._tops.pos").alias("pos"), F.col("_z._tops.value").alias("value"),
         F.expr("_z._codes div 3").alias("_left"), (F.col("_z._codes") % 3).alias("_right")))
     alive = each.where("_left > 0 and _right > 0")
-    left = alive.where("_left = 1").unionByName(_crossing(alive.where("_left = 2"), rows, keys, prominence, False))
-    left = stage(left)
-    both = left.where("_right = 1").unionByName(_crossing(left.where("_right = 2"), rows, keys, prominence, True))
-    return both.select(*keys, "n", "pos")
+    return _confirmed(alive, rows, keys, prominence).select(*keys, "n", "pos")
 
 
 # ------------------------------------------------------------------ spectrum

@@ -10,6 +10,7 @@ from postura.config import Thresholds
 from postura.functions.posture import posture_raw
 from postura.operators import bouts as B
 from postura.operators import frames as Fr
+from postura.operators import long_series as LS
 from postura.operators import signals as SG
 from postura.operators import tracklets as K
 from postura.operators import trips as TR
@@ -235,6 +236,23 @@ def test_scan_positions_and_neighbours(spark):
                                                              later[0] if later else None)
 
 
+def test_peaks_take_a_fixed_number_of_tables(spark, monkeypatch):
+    """However many blocks a series has; slopes leave peaks open over many of them."""
+    counts = []
+    for n in (64, 1024):
+        rows = [(1, 1, "elbow", n, i, float(i % 13) / 13 + (i if i < n // 2 else n - i) * 0.9) for i in range(n)]
+        df = spark.createDataFrame(rows, "video_id long, worker_id long, joint string, n int, pos int, value double")
+        staged = []
+        keep = LS.stage
+        monkeypatch.setattr(LS, "stage", lambda t: staged.append(1) or keep(t))
+        got = [r.pos for r in LS.prominent_peaks(df, ["video_id", "worker_id", "joint"], 1, 5.0, 8).collect()]
+        monkeypatch.undo()
+        values = [r[5] for r in rows]
+        assert len(got) == 1 and values[got[0]] == max(values)
+        counts.append(len(staged))
+    assert counts[0] == counts[1]
+
+
 @pytest.mark.parametrize(("distance", "width"), [(1, 8), (3, 8), (3, 8192)])
 def test_find_peaks_equals_plain_loop(spark, distance, width):
     rnd = random.Random(9)
