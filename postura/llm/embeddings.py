@@ -19,6 +19,7 @@ the smaller id; a null id has a null component unless others are linked; an empt
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -77,16 +78,18 @@ class Grid:
     def __init__(self, sample: np.ndarray, k: int, threshold: float, recall: float):
         self.dim = sample.shape[1]
         half = (self.dim + 1) // 2
-        self.books = [fit_codebook(sample[:, :half], k), fit_codebook(sample[:, half:], k)]
         rng = np.random.default_rng(1)
-        some = sample[:512]
+        sample = sample[rng.permutation(len(sample))]
+        # a quarter, at most 512, tells how many cells to visit; it takes no part in the codebooks unless there are few
+        held = min(512, len(sample) // 4)
+        some, rest = (sample[:held], sample[held:]) if len(sample) - held >= 2 * k else (sample[:512], sample)
+        self.books = [fit_codebook(rest[:, :half], k), fit_codebook(rest[:, half:], k)]
         turn = rng.normal(size=some.shape)
         turn -= (turn * some).sum(1, keepdims=True) * some
         turn /= np.sqrt((turn * turn).sum(1, keepdims=True)) + 1e-300
         turned = threshold * some + math.sqrt(max(0.0, 1 - threshold ** 2)) * turn
-        home = self.cells(turned, 1)
-        ranks = [next(r for r, c in enumerate(order, 1) if c == cell[0])
-                 for order, cell in zip(self.cells(some, k * k), home)]
+        ranks = [next(rank for rank, cell in enumerate(walk, 1) if cell == home[0])
+                 for walk, home in zip(self.walks(some), self.cells(turned, 1))]
         self.visits = int(np.sort(ranks)[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)])
 
     def fitted(self, x: np.ndarray) -> np.ndarray:
@@ -95,17 +98,18 @@ class Grid:
             return x[:, :self.dim]
         return np.pad(x, ((0, 0), (0, self.dim - x.shape[1])))
 
-    def cells(self, x: np.ndarray, n: int) -> list[list[int]]:
-        """The n nearest cells of every row."""
+    def walks(self, x: np.ndarray) -> Iterator[Iterator[int]]:
+        """For every row all cells, nearest first; what is not asked for is not made."""
         x = self.fitted(x)
         half = self.books[0].shape[1]
         far = [(b ** 2).sum(1) - 2 * part @ b.T for b, part in zip(self.books, (x[:, :half], x[:, half:]))]
         k = len(self.books[0])
-        out = []
         for d1, d2 in zip(*far):
-            walk = traverse(d1, d2)
-            out.append([i * k + j for (i, j), _ in zip(walk, range(n))])
-        return out
+            yield (i * k + j for i, j in traverse(d1, d2))
+
+    def cells(self, x: np.ndarray, n: int) -> list[list[int]]:
+        """The n nearest cells of every row."""
+        return [[*itertools.islice(walk, n)] for walk in self.walks(x)]
 
 
 def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +125,23 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compare(queries: list[dict], members: list[dict], threshold: float) -> tuple[list[int], list[int], list[int]]:
-    """Classes that take part in a link: class, links of it as a query, root class among these queries."""
+    """Classes that take part in a link: class, links, root class among these queries.
+
+    A link counts for the query, and for the member too if that does not visit the query's home cell and so never asks itself.
+    """
     q, m = [np.array([r["cls"] for r in side], dtype=np.int64) for side in (queries, members)]
     x, y = [unit(np.array([r["v"] for r in side], dtype=np.float64)) for side in (queries, members)]
-    weight = np.array([r["n"] for r in members], dtype=np.int64)
+    asking, weight = [np.array([r["n"] for r in side], dtype=np.int64) for side in (queries, members)]
     linked = (x @ y.T >= threshold) & (q[:, None] != m[None, :])
     if not linked.any():
         return [], [], []
     rows, cols = _forest(linked)
     counts = linked @ weight
+    homes, at = np.unique([r["cells"][0] for r in queries], return_inverse=True)
+    asks = np.array([np.isin(homes, r["cells"]) for r in members]).T[at]
+    back = (linked & ~asks).T @ asking
     keep, also = rows >= 0, cols >= 0
-    return ([*q[keep], *m[also]], [*counts[keep], *[0] * int(also.sum())], [*q[rows[keep]], *q[cols[also]]])
+    return ([*q[keep], *m[also]], [*counts[keep], *back[also]], [*q[rows[keep]], *q[cols[also]]])
 
 
 def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -187,16 +197,20 @@ def _links(classes: DataFrame, some: list[list[float]], k: int, threshold: float
 
     placed = stage(classes.select("cls", "n", "v", F.struct("label", F.size("v").alias("dim")).alias("site"),
                                   F.pandas_udf(place, "array<int>")("v").alias("cells")))
-    member = F.struct("cls", "n", "v").alias("r")
+    row = F.struct("cls", "n", "v", "cells").alias("r")
+    key = ["site", "cell"]
 
-    def blocks(cells: DataFrame, name: str) -> DataFrame:
-        """Rows of a cell in blocks of about BLOCK, dealt by a hash."""
-        counts = cells.groupBy("site", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-        dealt = cells.join(counts, ["site", "cell"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-        return dealt.groupBy("site", "cell", "part").agg(F.collect_list(member).alias(name)).drop("part")
+    def parts(cells: DataFrame, name: str) -> DataFrame:
+        return cells.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
 
-    members = blocks(placed.withColumn("cell", F.col("cells")[0]), "members")
-    queries = blocks(placed.withColumn("cell", F.explode("cells")), "queries")
+    # rows of a cell in blocks of about BLOCK, dealt by a hash; every block of members has a key of its own, to which all blocks of
+    # queries are sent, so the pairs of blocks of a hot cell come out of many tasks
+    homes, visits = placed.withColumn("cell", F.col("cells")[0]), placed.withColumn("cell", F.explode("cells"))
+    sizes = parts(homes, "mine").join(parts(visits, "theirs"), key)
+    dealt = lambda cells, n: cells.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("cls"), F.col(n)))
+    members = dealt(homes, "mine").groupBy(*key, "part").agg(F.collect_list(row).alias("members"))
+    queries = dealt(visits, "theirs").groupBy(*key, "mine", "part").agg(F.collect_list(row).alias("queries")).drop("part")
+    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mine") - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +218,7 @@ def _links(classes: DataFrame, some: list[list[float]], k: int, threshold: float
                 q, m = (batch.column(i)[one].as_py() for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in compare(q, m, threshold)], ["cls", "links", "root"])
 
-    pairs = queries.join(members, ["site", "cell"]).select("queries", "members")
+    pairs = queries.join(members, [*key, "part"]).select("queries", "members")
     return stage(pairs.mapInArrow(run, "cls long, links long, root long"))
 
 

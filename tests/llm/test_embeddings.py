@@ -78,3 +78,27 @@ def test_blocks_keep_connections():
         linked[i, j] = True
     rows, cols = E._forest(linked)
     assert rows.tolist() == [0, -1, 0, -1, 4] and cols.tolist() == [4, 0, -1, 0]
+
+
+def test_fine_grid_finds_links_for_both_ends(spark, monkeypatch):
+    """A grid of 45 x 45 cells over pairs just above the threshold: recall against brute force, and no link that one end lacks."""
+    monkeypatch.setattr(E, "CELL", 2)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(2000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    turn = rng.normal(size=base.shape)
+    turn -= (turn * base).sum(1, keepdims=True) * base
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    near = 0.9805 * base + np.sqrt(1 - 0.9805 ** 2) * turn
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]))] + [(4000 + i, base[7].tolist(), 1) for i in range(600)]
+    x = np.array([v for _, v, _ in rows])
+    linked = (x @ x.T >= E.THRESHOLD) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(6)
+    got = {r.vec_id: r for r in E.link(df).collect()}
+    want = linked.sum(1)
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= want).all() and found[:4000].sum() >= 0.99 * want[:4000].sum()
+    for i in range(2000):  # a pair and nothing else: both ends or none
+        if i != 7:
+            assert got[i].n_links == got[2000 + i].n_links == (got[2000 + i].component_id == i)
+    assert all(got[i].n_links >= 600 and got[i].component_id == 7 for i in range(4000, 4600))
