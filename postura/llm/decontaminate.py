@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postura.llm.common import ROW, as_row, by_value, column, small_batches, text_of
-from postura.llm.tokens import worker_state
+from postura.llm.tokens import worker_slot
 from postura.operators.ordered import stage
 
 #: Edits per character of an item; with it a piece has about 1 / RATE characters.
@@ -128,7 +128,7 @@ def found(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
 
     def scan(items: list[tuple[int, str]], name: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = worker_state(name, lambda: Matcher(items, rate)) if items else None
+            matcher = worker_slot("matcher", name, lambda: Matcher(items, rate)) if items else None
             for batch in batches:
                 ids, hashes, hits = [], [], []
                 for i, h, t in zip(*[c.to_pylist() for c in batch.columns]):

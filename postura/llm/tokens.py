@@ -48,6 +48,15 @@ def worker_state(name: str, make):
     return getattr(store, name)
 
 
+def worker_slot(name: str, key: object, make):
+    """An object for a key that lives until another key takes its slot, so a worker holds one of a kind."""
+    slot = worker_state(name, dict)
+    if key not in slot:
+        slot.clear()
+        slot[key] = make()
+    return slot[key]
+
+
 class Encoder:
     """Text to ids, as bytes of little-endian unsigned 32-bit integers."""
 

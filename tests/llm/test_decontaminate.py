@@ -65,3 +65,13 @@ def test_documents(spark):
     kept = D.drop_leaks(df, bench)
     assert kept.columns == df.columns and kept.count() == sum(not w[1] for w in want)
     assert D.report(df.where("false"), bench).collect() == [] and D.drop_leaks(df, bench.where("false")).count() == len(docs)
+
+
+def test_a_worker_holds_one_matcher():
+    from postura.llm.tokens import worker_slot, worker_state
+
+    made = []
+    for k in [1, 1, 2, 2, 1, 3]:
+        worker_slot("test_slot", k, lambda k=k: made.append(k) or [k])
+        assert list(worker_state("test_slot", dict).values()) == [[k]]
+    assert made == [1, 2, 1, 3]
